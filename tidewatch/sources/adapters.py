@@ -89,11 +89,44 @@ SELECT event_id, CAST(event_id % 3 AS INT) AS model_id, CAST(CAST(ts AS DATE) AS
 FROM {events}
 """
 
+# Text table as it comes from a file: header variants, odd labels, infinities and junk.
+RAW_FLOWS = """
+SELECT event_id AS `row id`,
+  {day_text} AS ` source_day`,
+  {time_text} AS `Timestamp`,
+  concat('10.0.0.', CAST(user_id % 40 AS VARCHAR(20))) AS `Src IP`,
+  concat('10.1.0.', CAST(event_id % 23 AS VARCHAR(20))) AS `Dst IP`,
+  CAST(1024 + event_id % 60000 AS VARCHAR(20)) AS ` Source Port`,
+  CASE WHEN event_id % 29 = 0 THEN 'x' ELSE CAST(event_id % 1000 AS VARCHAR(20)) END AS `Destination Port`,
+  CASE WHEN event_id % 10 = 0 THEN '17' ELSE '6' END AS `Protocol`,
+  concat(CAST(event_id % 977 AS VARCHAR(20)), '.25') AS `Flow Duration`,
+  concat(CAST(event_id % 83 AS VARCHAR(20)), '.5') AS `Flow IAT Mean`,
+  CAST(1 + event_id % 9 AS VARCHAR(20)) AS `Tot Fwd Pkts`,
+  CAST(event_id % 5 AS VARCHAR(20)) AS `Tot Bwd Pkts`,
+  CAST(event_id % 400 AS VARCHAR(20)) AS `TotLen Fwd Pkts`,
+  CASE WHEN event_id % 31 = 0 THEN '' ELSE CAST(event_id % 300 AS VARCHAR(20)) END AS `TotLen Bwd Pkts`,
+  CASE WHEN event_id % 13 = 0 THEN 'Infinity' WHEN event_id % 17 = 0 THEN 'NaN' WHEN event_id % 19 = 0 THEN 'junk'
+       ELSE concat(CAST((event_id * 7919) % 99991 AS VARCHAR(20)), '.5') END AS `Flow Bytes/s`,
+  CASE WHEN event_id % 23 = 0 THEN '-Infinity' ELSE CAST((event_id * 31) % 1009 AS VARCHAR(20)) END AS `Flow Packets/s`,
+  CASE WHEN event_type = 'signup' THEN CAST(event_id % 3 AS VARCHAR(20)) ELSE '0' END AS `SYN Flag Count`,
+  CASE WHEN event_type = 'error' THEN '2' ELSE 'none' END AS `RST Flag Count`,
+  CASE WHEN event_type <> 'error' THEN CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '  ' ELSE 'BENIGN' END
+       WHEN event_id % 8 = 0 THEN ' DoS Hulk ' WHEN event_id % 8 = 1 THEN 'Port Scan' WHEN event_id % 8 = 2 THEN 'SSH-PATATOR'
+       WHEN event_id % 8 = 3 THEN 'Web Attack - XSS' WHEN event_id % 8 = 4 THEN 'Botnet ARES'
+       WHEN event_id % 8 = 5 THEN 'Web Attack - Sql Injection' WHEN event_id % 8 = 6 THEN 'Web Attack - Brute Force'
+       ELSE ' Novel Thing ' END AS `Label`
+FROM {events}
+"""
+
 VIEWS = {"flows": FLOWS, "packets": PACKETS, "labelled_ref": LABELLED_REF,
          "unlabelled": UNLABELLED, "scores": SCORES}
 
 
 def duck(name: str) -> str:
+    if name == "raw_flows":
+        return RAW_FLOWS.replace("`", '"').format(
+            events="events", day_text="concat(dayname(ts), '-WorkingHours.csv')",
+            time_text="strftime(ts, '%d/%m/%Y %H:%M:%S')")
     return VIEWS[name].format(epoch=DUCK_EPOCH, events="events")
 
 
@@ -102,4 +135,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "raw_flows":
+        text = RAW_FLOWS.format(
+            events="{src}", day_text="concat(date_format(ts, 'EEEE'), '-WorkingHours.csv')",
+            time_text="date_format(ts, 'dd/MM/yyyy HH:mm:ss')")
+        return spark.sql(text, src=table(spark, sf_dir, "events"))
     return spark.sql(VIEWS[name].format(epoch=SPARK_EPOCH, events="{src}"), src=table(spark, sf_dir, "events"))
