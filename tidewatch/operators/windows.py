@@ -159,22 +159,29 @@ def aggregate_windows(assigned: DataFrame, cfg: WindowConfig = WindowConfig(), k
 def fill_idle(windows: DataFrame, cfg: WindowConfig = WindowConfig(), keys=("day",)) -> DataFrame:
     """Insert zero-traffic windows into gaps of up to ``max_idle_gap`` missing windows."""
     keys = list(keys)
-    nxt = F.lead("window_index").over(W.partitionBy(*keys).orderBy("window_index"))
-    gap = F.col("_next") - F.col("window_index")
     step = float(min(cfg.stride_seconds, cfg.window_seconds))
-    missing = (
-        windows.select(*keys, "window_index", "window_start", nxt.alias("_next"))
-        .where((gap > 1) & (gap <= cfg.max_idle_gap + 1))
-        .withColumn("_i", F.explode(F.sequence(F.col("window_index") + 1, F.col("_next") - 1)))
-    )
-    filled = missing.select(
-        *keys, F.col("_i").alias("window_index"),
-        (F.col("window_start") + (F.col("_i") - F.col("window_index")) * F.lit(step)).alias("window_start"),
-        F.lit(BENIGN).alias("dominant_family"))
-    out = windows.unionByName(filled, allowMissingColumns=True)
-    numeric = [f.name for f in windows.schema.fields
-               if f.name not in keys and f.dataType.typeName() not in ("string", "boolean")]
-    return out.fillna(0, subset=numeric)
+    index = F.col("window_index")
+    nxt = F.lead("window_index").over(W.partitionBy(*keys).orderBy("window_index"))
+    fillable = (F.col("_next") - index > 1) & (F.col("_next") - index <= cfg.max_idle_gap + 1)
+    last = F.when(fillable, F.col("_next") - 1).otherwise(index)
+    rows = windows.withColumn("_next", nxt).withColumn("_i", F.explode(F.sequence(index, last)))
+    own = F.col("_i") == index
+    out = []
+    for f in windows.schema.fields:
+        c = F.col(f.name)
+        if f.name in keys:
+            out.append(c)
+        elif f.name == "window_index":
+            out.append(F.col("_i").alias(f.name))
+        elif f.name == "window_start":
+            out.append((c + (F.col("_i") - index) * F.lit(step)).alias(f.name))
+        elif f.name == "dominant_family":
+            out.append(F.when(own, F.coalesce(c, F.lit(BENIGN))).otherwise(BENIGN).alias(f.name))
+        elif f.dataType.typeName() in ("string", "boolean"):
+            out.append(F.when(own, c).alias(f.name))
+        else:
+            out.append(F.when(own, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(f.dataType).alias(f.name))
+    return rows.select(*out)
 
 
 def time_features(windows: DataFrame, cfg: WindowConfig = WindowConfig(), keys=("day",)) -> DataFrame:

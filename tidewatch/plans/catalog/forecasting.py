@@ -14,6 +14,7 @@ from tidewatch.plans.catalog.common import (
     time_sql, windows_sql,
 )
 from tidewatch.plans.catalog.windows import base, down_sql, kb_sql
+from tidewatch.session import durable
 from tidewatch.sources.adapters import view
 
 STRATIFIED = GRAIN.split
@@ -22,7 +23,9 @@ FAMILY = SplitConfig(mode="family", family_val=("SSH-Patator",), family_test=("B
 
 
 def split_windows(spark, sf, cfg, window=HOURLY):
-    return splits.assign_split(ops.time_features(base(spark, sf, window), window), cfg, window)
+    """Windows with their split. The window table is written once: splits and sequences read it several times."""
+    windows = durable(ops.time_features(base(spark, sf, window), window))
+    return splits.assign_split(windows, cfg, window)
 
 
 def split_query(cfg, window=HOURLY):
@@ -111,7 +114,7 @@ SELECT day, {big('episode', 'episode')}, {big('sum(n) OVER (PARTITION BY day, ep
 # ---- sequences ------------------------------------------------------------
 
 def seqs(spark, sf):
-    windows = ops.guard_features(split_windows(spark, sf, STRATIFIED))
+    windows = durable(ops.guard_features(split_windows(spark, sf, STRATIFIED)))
     return windows, sequences.build_sequences(windows, SHORT)
 
 
@@ -173,8 +176,8 @@ FROM o JOIN splitted w ON w.day = o.day AND w.window_index = o.window_index"""
 
 
 def scaler(spark, sf):
-    _, rows = seqs(spark, sf)
-    return tidy(sequences.fit_scaler(rows).select("feature", "median", "iqr"))
+    windows, rows = seqs(spark, sf)
+    return tidy(sequences.fit_scaler(rows, windows, SHORT).select("feature", "median", "iqr"))
 
 
 SCALER = f"""WITH {sequences_sql()}, fx AS (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}
@@ -211,7 +214,7 @@ TRANSITIONS = f"WITH {stratified_sql(STRATIFIED)}, {TRANS} SELECT state, {bigs('
 
 
 def state_steps(spark, sf):
-    windows = split_windows(spark, sf, STRATIFIED)
+    windows = durable(split_windows(spark, sf, STRATIFIED))
     table = forecast.transition_table(windows, K)
     anchors = windows.select("day", "window_index", "progression_state", F.col("y_attack").alias("y_now"), "split", "dominant_family")
     return forecast.state_forecast(anchors, table, K)
@@ -384,8 +387,8 @@ SELECT {big('count(*)', 'n_anchors')}, {big('count(*) FILTER (alert)', 'n_alerts
 # ---- family guess and rules ------------------------------------------------
 
 def guesses(spark, sf):
-    windows = ops.guard_features(split_windows(spark, sf, STRATIFIED))
-    sc = sequences.fit_scaler(sequences.build_sequences(windows, SHORT))
+    windows, rows = seqs(spark, sf)
+    sc = sequences.fit_scaler(rows, windows, SHORT)
     median, width = sequences.scale_columns(sc)
     x = sequences.scale_vector(F.array(*[F.col(f) for f in FEATURES]), median, width)
     rows = windows.select("day", "window_index", x.alias("z"))
