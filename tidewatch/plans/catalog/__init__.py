@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("windows", "cleaning", "forecasting", "evaluation")
+MODULES = ("windows", "cleaning", "forecasting", "evaluation", "network")
 
 
 def load() -> tuple[dict, dict]:

@@ -118,6 +118,42 @@ SELECT event_id AS `row id`,
 FROM {events}
 """
 
+# Typed packets on a time axis 200 times as dense, so that conversations have several packets.
+DENSE_PACKETS = """
+SELECT pkt_id, 1704067200000000 + CAST(floor((ts - 1704067200) * 5000) AS BIGINT) AS ts_us,
+  src_ip, dst_ip, CAST(sport AS INT) AS sport, CAST(dport AS INT) AS dport, proto, proto = 6 AS is_tcp, false AS is_other,
+  CAST(60 + pkt_id % 900 AS DOUBLE) AS frame_len, CAST(40 + pkt_id % 25 AS DOUBLE) AS ttl,
+  CAST((pkt_id * 13) % 700 AS DOUBLE) * CAST(CASE WHEN pkt_id % 3 = 1 THEN 0 ELSE 1 END AS DOUBLE) AS payload_len,
+  CAST(20 + 4 * (pkt_id % 6) AS DOUBLE) AS header_len, pkt_id % 50 = 0 AS more_frag, pkt_id % 2 = 0 AS dont_frag,
+  CAST(pkt_id % 7 AS DOUBLE) AS frag_offset, CAST((pkt_id * 37) % 65536 AS DOUBLE) AS tcp_window, pkt_id % 17 = 0 AS is_retx,
+  CASE WHEN pkt_id % 6 = 0 THEN fin ELSE 0 END AS fin, syn, CASE WHEN pkt_id % 9 = 0 THEN rst ELSE 0 END AS rst, psh, ack,
+  0 AS urg, 0 AS ece, 0 AS cwr
+FROM ({packets}) p
+"""
+
+RAW_PACKETS = """
+SELECT event_id AS pkt_id,
+  CASE WHEN event_id % 37 = 0 THEN 'bad' ELSE {epoch_text} END AS `frame.time_epoch`,
+  CAST(60 + event_id % 900 AS VARCHAR(20)) AS `frame.len`,
+  CASE WHEN event_id % 41 = 0 THEN '' ELSE concat('10.0.0.', CAST(user_id AS VARCHAR(20))) END AS `ip.src`,
+  concat('10.1.0.', CAST(user_id % 5 AS VARCHAR(20))) AS `ip.dst`, '6' AS `ip.proto`,
+  CAST(40 + event_id % 25 AS VARCHAR(20)) AS `ip.ttl`,
+  CASE WHEN event_id % 50 = 0 THEN '1' ELSE '0' END AS `ip.flags.mf`, CASE WHEN event_id % 2 = 0 THEN '1' ELSE '' END AS `ip.flags.df`,
+  CAST(event_id % 7 AS VARCHAR(20)) AS `ip.frag_offset`,
+  CASE WHEN event_id % 10 < 7 THEN CAST(40000 + user_id AS VARCHAR(20)) ELSE '' END AS `tcp.srcport`,
+  CASE WHEN event_id % 10 < 7 THEN '443' ELSE '' END AS `tcp.dstport`,
+  CASE WHEN event_id % 10 < 7 THEN CAST((event_id * 37) % 65536 AS VARCHAR(20)) ELSE '' END AS `tcp.window_size_value`,
+  CASE WHEN event_id % 10 < 6 THEN CAST(event_id % 1400 AS VARCHAR(20)) ELSE '' END AS `tcp.len`,
+  CASE WHEN event_id % 10 < 5 THEN '32' ELSE '' END AS `tcp.hdr_len`, CAST(event_id AS VARCHAR(20)) AS `tcp.seq`,
+  CASE WHEN event_id % 10 >= 7 THEN '' WHEN event_id % 4 = 0 THEN '0x0012' WHEN event_id % 4 = 1 THEN '0x00C1'
+       WHEN event_id % 4 = 2 THEN '24' ELSE 'zz' END AS `tcp.flags`,
+  CASE WHEN event_id % 17 = 0 THEN '1' ELSE '' END AS `tcp.analysis.retransmission`,
+  CASE WHEN event_id % 10 IN (7, 8) THEN CAST(50000 + user_id AS VARCHAR(20)) ELSE '' END AS `udp.srcport`,
+  CASE WHEN event_id % 10 IN (7, 8) THEN '53' ELSE '' END AS `udp.dstport`,
+  CASE WHEN event_id % 10 = 7 THEN CAST(event_id % 300 AS VARCHAR(20)) ELSE '' END AS `udp.length`
+FROM {events}
+"""
+
 VIEWS = {"flows": FLOWS, "packets": PACKETS, "labelled_ref": LABELLED_REF,
          "unlabelled": UNLABELLED, "scores": SCORES}
 
@@ -127,6 +163,10 @@ def duck(name: str) -> str:
         return RAW_FLOWS.replace("`", '"').format(
             events="events", day_text="concat(dayname(ts), '-WorkingHours.csv')",
             time_text="strftime(ts, '%d/%m/%Y %H:%M:%S')")
+    if name == "dense_packets":
+        return DENSE_PACKETS.format(packets=duck("packets"))
+    if name == "raw_packets":
+        return RAW_PACKETS.replace("`", '"').format(events="events", epoch_text=f"printf('%.6f', {DUCK_EPOCH})")
     return VIEWS[name].format(epoch=DUCK_EPOCH, events="events")
 
 
@@ -140,4 +180,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             events="{src}", day_text="concat(date_format(ts, 'EEEE'), '-WorkingHours.csv')",
             time_text="date_format(ts, 'dd/MM/yyyy HH:mm:ss')")
         return spark.sql(text, src=table(spark, sf_dir, "events"))
+    if name == "dense_packets":
+        return spark.sql(DENSE_PACKETS.format(packets="SELECT * FROM {src}"), src=view(spark, sf_dir, "packets"))
+    if name == "raw_packets":
+        text = RAW_PACKETS.format(events="{src}", epoch_text=f"format_string('%.6f', {SPARK_EPOCH})")
+        return spark.sql(text, src=table(spark, sf_dir, "events"))
     return spark.sql(VIEWS[name].format(epoch=SPARK_EPOCH, events="{src}"), src=table(spark, sf_dir, "events"))
