@@ -1,6 +1,7 @@
 """Streaming results next to the batch results on closed windows."""
 
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -17,6 +18,13 @@ T0 = 1_700_000_000.0
 CFG, SEQ = WindowConfig(), SequenceConfig(history=4, horizon=2)
 
 
+def put(folder, n, rows):
+    """One input file; files are read in the order of their modification time."""
+    f = folder / f"{n:03d}.json"
+    f.write_text("\n".join(json.dumps(r) for r in rows))
+    os.utime(f, (1_700_000_000 + n * 10, 1_700_000_000 + n * 10))
+
+
 def feed(tmp_path, session="s1", skip=(9, 10), until=300, per_window=6):
     """Flows of 10-second windows, one JSON file per half minute; two idle windows."""
     rows = []
@@ -33,7 +41,7 @@ def feed(tmp_path, session="s1", skip=(9, 10), until=300, per_window=6):
     out = tmp_path / f"in_{session}"
     out.mkdir()
     for n, part in enumerate(range(0, len(rows), 18)):
-        (out / f"{n:03d}.json").write_text("\n".join(json.dumps(r) for r in rows[part:part + 18]))
+        put(out, n, rows[part:part + 18])
     return str(out), pd.DataFrame(rows)
 
 
@@ -104,7 +112,7 @@ def test_stream_flow_assembly(rocks, tmp_path):
     late = [packet(300, T0 + 60, a, "10.9.9.9", 1, 2), packet(301, T0 + 61, a, "10.9.9.9", 1, 2)]
     end = [packet(400, T0 + 500, a, "10.8.8.8", 1, 2)]
     for n, part in enumerate([scan + talk + udp, late, end]):
-        (src / f"{n}.json").write_text("\n".join(json.dumps(p) for p in part))
+        put(src, n, part)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
     got = spark.read.parquet(run(sa.stream_flows(stream), tmp_path, "flows")).toPandas()
     probes = got[got.src_port == 40000]

@@ -156,3 +156,20 @@ def quantiles(rows: DataFrame, group: list[str], value: str, probs: list[float],
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     got = rows.groupBy(*group).agg(F.percentile_approx(F.col(value).cast("double"), [float(p) for p in probs], accuracy).alias("_q"))
     return got.select(*group, F.explode(F.arrays_zip(wanted.alias("p"), F.col("_q").alias("q"))).alias("_z")).select(*group, "_z.p", "_z.q")
+
+
+def hash_rank(rows: DataFrame, group: list[str], draw: Column, ties: list[str], name: str, buckets: int = 1024) -> DataFrame:
+    """0-based position of each row in its group by a uniform draw, and ``<name>_of`` = rows in the group.
+
+    Positions are counted per slice of the draw and shifted by the slices before it,
+    so a group is never ordered in one task.
+    """
+    rows = rows.withColumn("_d", draw).withColumn("_slice", F.floor(F.col("_d") * buckets).cast("int"))
+    counts = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    shift = counts.select(
+        *group, "_slice",
+        (F.sum("_n").over(W.partitionBy(*group).orderBy("_slice")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(W.partitionBy(*group)).alias(f"{name}_of"))
+    inside = F.row_number().over(W.partitionBy(*group, "_slice").orderBy("_d", *ties)) - 1
+    joined = rows.withColumn("_in", inside).join(shift, [*group, "_slice"])
+    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_d", "_slice", "_in", "_before")

@@ -114,14 +114,14 @@ FLOW_NUMBERS = ["flow_duration", "fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes
                 "pkt_ttl_mean", "retransmission_count", "Subflow Fwd Packets", "Down/Up Ratio", "SYN Flag Count"]
 
 
-MICROS = ("flow_duration", "Flow IAT Mean", "Flow IAT Std", "Fwd IAT Total", "Bwd IAT Max", "Active Mean", "Idle Max")  # shown in seconds
+MICROS = ("flow_duration", "Flow IAT Mean", "Flow IAT Std", "Fwd IAT Total", "Bwd IAT Max", "Active Mean", "Idle Max")  # shown in milliseconds
 
 
 def full(spark, sf, profile):
     rows = assembler.assemble(view(spark, sf, "dense_packets"), profile, chunk_seconds=3600.0)
     names = {n: n.lower().replace(" ", "_").replace("/", "_") for n in FLOW_NUMBERS}
     return tidy(rows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_start_epoch",
-                            *[(F.col(f"`{n}`").cast("double") / (1e6 if n in MICROS else 1.0)).alias(a) for n, a in names.items()]))
+                            *[(F.col(f"`{n}`").cast("double") / (1e3 if n in MICROS else 1.0)).alias(a) for n, a in names.items()]))
 
 
 def full_sql(profile: assembler.Profile) -> str:
@@ -159,10 +159,10 @@ ag AS (SELECT start_pid, min(ts_us) AS t0, max(ts_us) - min(ts_us) AS dur, count
   arg_min(side, (ts_us, pkt_id)) AS oside, max(orient) AS orient, max(proto) AS proto FROM g GROUP BY 1)
 SELECT CASE WHEN {swap} THEN odip ELSE oip END AS src_ip, CASE WHEN {swap} THEN oip ELSE odip END AS dst_ip,
  {big(f'CASE WHEN {swap} THEN odp ELSE osp END', 'src_port')}, {big(f'CASE WHEN {swap} THEN osp ELSE odp END', 'dst_port')}, {big('proto', 'protocol')},
- {r6('t0 / 1000000.0::DOUBLE', 'flow_start_epoch')}, {r6('dur / 1000000.0::DOUBLE', 'flow_duration')}, {r6('fp', 'fwd_pkts')}, {r6('bp', 'bwd_pkts')}, {r6('fb', 'fwd_bytes')}, {r6('bb', 'bwd_bytes')},
- {r6('im / 1000000.0::DOUBLE', 'flow_iat_mean')}, {r6('isd / 1000000.0::DOUBLE', 'flow_iat_std')}, {r6('fit / 1000000.0::DOUBLE', 'fwd_iat_total')}, {r6('bix / 1000000.0::DOUBLE', 'bwd_iat_max')}, {r6('lm', 'packet_length_mean')}, {r6('lv', 'packet_length_variance')},
+ {r6('t0 / 1000000.0::DOUBLE', 'flow_start_epoch')}, {r6('dur / 1000.0::DOUBLE', 'flow_duration')}, {r6('fp', 'fwd_pkts')}, {r6('bp', 'bwd_pkts')}, {r6('fb', 'fwd_bytes')}, {r6('bb', 'bwd_bytes')},
+ {r6('im / 1000.0::DOUBLE', 'flow_iat_mean')}, {r6('isd / 1000.0::DOUBLE', 'flow_iat_std')}, {r6('fit / 1000.0::DOUBLE', 'fwd_iat_total')}, {r6('bix / 1000.0::DOUBLE', 'bwd_iat_max')}, {r6('lm', 'packet_length_mean')}, {r6('lv', 'packet_length_variance')},
  {r6('ls / n', 'average_packet_size')}, {r6('fh', 'fwd_header_length')}, {r6('ms', 'min_seg_size_forward')}, {r6('ad', 'act_data_pkt_fwd')}, {r6('fw', 'init_win_bytes_forward')},
- {r6(f'coalesce(bw, {profile.init_win_unset})', 'init_win_bytes_backward')}, {r6('active_mean / 1000000.0::DOUBLE', 'active_mean')}, {r6('idle_max / 1000000.0::DOUBLE', 'idle_max')}, {r6('fin_n', 'flag_fin')}, {r6('rst_n', 'flag_rst')},
+ {r6(f'coalesce(bw, {profile.init_win_unset})', 'init_win_bytes_backward')}, {r6('active_mean / 1000.0::DOUBLE', 'active_mean')}, {r6('idle_max / 1000.0::DOUBLE', 'idle_max')}, {r6('fin_n', 'flag_fin')}, {r6('rst_n', 'flag_rst')},
  {r6('ttl', 'pkt_ttl_mean')}, {r6('rx', 'retransmission_count')}, {r6(f'CASE WHEN {sub} > 0 THEN fp // ({sub}) ELSE 0 END', 'subflow_fwd_packets')},
  {r6('CASE WHEN fp > 0 THEN bp // fp ELSE 0 END', 'down_up_ratio')}, {r6(syn, 'syn_flag_count')}
 FROM ag JOIN ln USING (start_pid) JOIN u3 USING (start_pid) WHERE n > 1"""

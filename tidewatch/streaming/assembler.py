@@ -73,7 +73,7 @@ class FlowProcessor(StatefulProcessor):
         n, span = sum(f["n"]), max(0.0, (f["t1"] - f["t0"]) * 1e6)
         return (round(f["t0"], 6), f["src"], f["dst"], f["sp"], f["dp"], f["proto"], round(span, 1), round(span / max(1, n - 1), 3),
                 f["n"][0], f["n"][1], f["octets"][0], f["octets"][1], round(f["gaps"][0] * 1e6, 1), round(f["gaps"][1] * 1e6, 1),
-                round(sum(f["octets"]) / n, 2), *f["flags"], pd.Timestamp(f["t1"], unit="s"))
+                round(sum(f["octets"]) / n, 2), *f["flags"], pd.Timestamp(int(f["t1"] * 1e6), unit="us"))
 
     def close(self) -> None:
         pass
