@@ -77,8 +77,14 @@ def finite_or_zero(value: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970 as double; works for TIMESTAMP and TIMESTAMP_NTZ (UTC session)."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1000000.0)
+    """Seconds since 1970 of an instant (TIMESTAMP) as double."""
+    return F.unix_micros(ts) / F.lit(1000000.0)
+
+
+def clock_seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a wall-clock reading taken as UTC, whatever the session zone is."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", zero, ts.cast("timestamp_ntz")) / F.lit(1000000.0)
 
 
 def log1p_pos(value: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.columns import ratio, signed_flow_id
 from tidewatch.operators.packets import moment_columns, packet_key
 from tidewatch.session import durable
+from tidewatch.sources.contract import clock_text
 
 # Limits of the assembler in seconds or packets.
 FLOW_TIMEOUT = 120.0
@@ -31,6 +32,7 @@ ACTIVITY_TIMEOUT = 5.0
 SUBFLOW_GAP = 1.0
 BULK_GAP = 1.0
 BULK_PACKETS = 4
+CAPTURE_ZONE = "America/Halifax"
 
 
 @dataclass(frozen=True)
@@ -76,58 +78,69 @@ def _closes(fin, rst, side, same, orient, any_fin):
 
 
 def _chunk_transfer(any_fin: bool, timeout_us: int, chunk_us: int, idle_us: int | None):
-    """pandas function: packets of one chunk (and the lead-in of the chunk before) -> start state, end state."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "pid"], kind="mergesort")
-        own = pdf["own"].to_numpy()
-        if not own.any():
-            return pd.DataFrame({"key": [], "chunk": [], "in_id": [], "in_side": [], "out_id": [], "out_side": []})
-        ts, pid = pdf["ts_us"].to_numpy(), pdf["pid"].to_numpy()
-        side, same = pdf["side"].to_numpy(), pdf["same_ip"].to_numpy()
-        fin, rst = pdf["fin"].to_numpy(), pdf["rst"].to_numpy()
+    """Sorted packets (own and lead-in) of many chunks -> start state, end state of each chunk."""
+    def one(ts, pid, side, same, fin, rst, own, chunk, cut):
         n, b = len(ts), int(np.argmax(own))
-        key, chunk = pdf["key"].iloc[0], int(pdf["chunk"].iloc[0])
+        if not own[b]:
+            return []
         fresh_until = (chunk + 1) * chunk_us - timeout_us
-        late = np.searchsorted(ts, ts + timeout_us, side="right")
-        gap = np.full(n + 1, n)                    # next packet after an idle break, if that rule is on
+        late = np.maximum(np.searchsorted(ts, ts + timeout_us, side="right"), b).tolist()
+        gap = [n] * (n + 1)                        # next packet after an idle break, if that rule is on
         if idle_us is not None:
             broken = np.append(np.diff(ts) > idle_us, False)
             for i in range(n - 1, -1, -1):
                 gap[i] = i + 1 if broken[i] else gap[i + 1]
-        cut = bool(pdf["cut"].iloc[b])             # an idle break right before the first own packet
-        ends = {}
+        ends = []
         for o in (0, 1):
             stop = _closes(fin, rst, side, same, o, any_fin)
-            nxt = np.full(n + 1, n)
-            for i in range(n - 1, -1, -1):
-                nxt[i] = i if stop[i] else nxt[i + 1]
-            ends[o] = nxt
-
-        end = [[None, None] for _ in range(n + 1)]
+            at = np.where(stop, np.arange(n), n)
+            ends.append(np.append(np.minimum.accumulate(at[::-1])[::-1], n).tolist())
+        sides, pids, times = side.tolist(), pid.tolist(), ts.tolist()
+        end = [None] * (n + 1)
 
         def leave(i, o, frm):
             """End state of a flow that started at i, seen from packet ``frm`` on."""
-            c, t, g = ends[o][frm], max(late[i], b), gap[max(frm - 1, b)]
-            if idle_us is not None and g < n and g <= min(c, t):
-                return end[g][side[g]]
+            c, t, g = ends[o][frm], late[i], gap[max(frm - 1, b)]
+            if g < n and g <= c and g <= t:
+                return end[g][sides[g]]
             if c < t:
-                return end[c + 1][side[c + 1]] if c + 1 < n else (CLOSED, 0)
+                return end[c + 1][sides[c + 1]] if c + 1 < n else (CLOSED, 0)
             if t < n:
                 return end[t][o]
-            return (int(pid[i]), o) if ts[i] >= fresh_until else (STALE, o)
+            return (pids[i], o) if times[i] >= fresh_until else (STALE, o)
 
         for i in range(n - 1, b - 1, -1):
-            for o in (0, 1):
-                end[i][o] = leave(i, o, i + 1)
-        anew = end[b][side[b]]
+            end[i] = (leave(i, 0, i + 1), leave(i, 1, i + 1))
+        anew = end[b][sides[b]]
         rows = [(CLOSED, 0, *anew), (STALE, 0, *(anew if cut else end[b][0])), (STALE, 1, *(anew if cut else end[b][1]))]
         for i in range(b):
             for o in (0, 1):
-                rows.append((int(pid[i]), o, *(anew if cut else leave(i, o, b))))
-        out = pd.DataFrame(rows, columns=["in_id", "in_side", "out_id", "out_side"])
-        out.insert(0, "chunk", chunk)
-        out.insert(0, "key", key)
-        return out
+                rows.append((pids[i], o, *(anew if cut else leave(i, o, b))))
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            yield from finish(rest, whole=False)
+            # the last chunk of a batch may go on in the next one
+            last = rest.iloc[-1]
+            rest = rest[(rest["key"] == last["key"]) & (rest["chunk"] == last["chunk"])].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield from finish(rest, whole=True)
+
+    def finish(pdf, whole):
+        keys, chunks = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
+        cols = [pdf[c].to_numpy() for c in ("ts_us", "pid", "side", "same_ip", "fin", "rst", "own")]
+        cuts = pdf["cut"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])))
+        stops = np.append(starts[1:], len(pdf))
+        out = []
+        for s, e in zip(starts[: None if whole else -1], stops[: None if whole else -1]):
+            rows = one(*[c[s:e] for c in cols], int(chunks[s]), bool(cuts[s]))
+            out += [(keys[s], int(chunks[s]), *r) for r in rows]
+        yield pd.DataFrame(out, columns=["key", "chunk", "in_id", "in_side", "out_id", "out_side"])
+
     return run
 
 
@@ -153,9 +166,10 @@ def _chunk_entries(narrow: DataFrame, profile: Profile, timeout_us: int, chunk_u
                      F.array(here, F.struct((F.col("chunk") + 1).alias("c"), F.lit(False).alias("own"))))
     copies = narrow.withColumn("_to", F.explode(F.coalesce(lead_in, F.array(here)))).withColumns(
         {"chunk": F.col("_to.c"), "own": F.col("_to.own")}).drop("_to")
-    copies = copies.join(chunks.select("key", "chunk", "cut"), ["key", "chunk"])
-    table = copies.groupBy("key", "chunk").applyInPandas(
-        _chunk_transfer(profile.any_fin_closes, timeout_us, chunk_us, idle_us), TRANSFER_SCHEMA)
+    # the end state of a key's last chunk is never asked for
+    copies = copies.join(chunks.where(F.col("next").isNotNull()).select("key", "chunk", "cut"), ["key", "chunk"])
+    ordered = copies.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "ts_us", "pid")
+    table = ordered.mapInPandas(_chunk_transfer(profile.any_fin_closes, timeout_us, chunk_us, idle_us), TRANSFER_SCHEMA)
     # an open state does not reach a chunk that is not the direct successor
     table = table.join(chunks, ["key", "chunk"])
     near = F.coalesce(F.col("next") == F.col("chunk") + 1, F.lit(False))
@@ -405,8 +419,7 @@ def _finish(base: DataFrame, profile: Profile) -> DataFrame:
         "src_ip": src_ip, "dst_ip": dst_ip, "src_port": sport, "dst_port": dport, "protocol": F.col("o.proto"),
         "flow_id": signed_flow_id(src_ip, sport, dst_ip, dport, F.col("o.proto")),
         "flow_start_epoch": F.col("start_us") / 1e6,
-        "Timestamp": F.date_format(F.from_utc_timestamp(F.timestamp_micros("start_us"), "America/Halifax"),
-                                   "dd/MM/yyyy hh:mm:ss a" if profile.am_pm else "dd/MM/yyyy hh:mm:ss"),
+        "Timestamp": clock_text(F.col("start_us") / 1e6, CAPTURE_ZONE, profile.am_pm),
         "timestamp_window": F.floor(F.col("start_us") / 5_000_000),
         "flow_iat_mean": F.col("Flow IAT Mean"),
         "profile": F.lit(profile.name),

@@ -64,6 +64,8 @@ def rate_limits(df: DataFrame, p: float = 0.999, columns=RATE_COLUMNS, by=(), me
 
 def winsorise(df: DataFrame, p: float = 0.999, columns=RATE_COLUMNS, method: str = "exact") -> DataFrame:
     """Cap the rate columns; the four bounds come back to the driver and enter the plan as literals."""
+    if not any(c in df.columns for c in columns):
+        return df
     limits = {r["column"]: r["high"] for r in rate_limits(df, p, columns, (), method).collect()}
     return df.withColumns({c: F.least(name(c), F.lit(h)) for c, h in limits.items() if h is not None and h > 0})
 

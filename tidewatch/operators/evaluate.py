@@ -267,8 +267,16 @@ def blend_weight(scores: DataFrame, group: list[str], weights: list[float], labe
     """Weight with the best average precision on the given rows; the smaller weight wins ties.
 
     All weights are scored in one pass: each row yields one score per weight (a short fixed list).
+    Array columns (one probability per horizon step) are blended per step and reduced to their maximum.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("w"), (F.col(base) * float(w) + F.col(member) * (1.0 - w)).alias("s")) for w in weights]))
+    kinds = dict(scores.dtypes)
+
+    def mixed(w: float) -> Column:
+        if kinds[base].startswith("array"):
+            return F.array_max(F.zip_with(base, member, lambda a, b: a * w + b * (1.0 - w)))
+        return F.col(base) * w + F.col(member) * (1.0 - w)
+
+    each = F.explode(F.array(*[F.struct(F.lit(float(w)).alias("w"), mixed(float(w)).alias("s")) for w in weights]))
     rows = scores.select(*group, label, each.alias("x")).select(*group, label, F.col("x.w").alias("weight"), F.round("x.s", 9).alias("y_prob"))
     ranked = ranking(score_counts(rows, [*group, "weight"], label), [*group, "weight"])
     best = F.min_by(F.struct("weight", "pr_auc"), F.struct((-F.round("pr_auc", 12)).alias("a"), F.col("weight").alias("w")))

@@ -195,3 +195,15 @@ def kpis(anchors: DataFrame) -> DataFrame:
     return anchors.agg(
         F.sum(F.col("alert").cast("long")).alias("alerts"), F.count(F.lit(1)).alias("anchors"),
         F.coalesce(F.max(peak), F.lit(0.0)).alias("peak_prob"), F.min(lead).alias("earliest_lead_seconds"))
+
+
+def anchor_families(anchors: DataFrame, windows: DataFrame, keys=("day",)) -> DataFrame:
+    """Family of the anchor's own window; an unknown window gives ``?``."""
+    on = [*keys, "window_index"]
+    joined = anchors.join(windows.select(*on, F.col("dominant_family").alias("family")), on, "left")
+    return joined.withColumn("family", F.coalesce("family", F.lit("?")))
+
+
+def simulate_split(anchors: DataFrame, split: str, prob: str = "attack_prob") -> DataFrame:
+    """Peak step of the alerting anchors of one split (of all its anchors when none alerts)."""
+    return peak_step(alerting_or_all(anchors.where(F.col("split") == split)), prob)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPARK_EPOCH = "(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000.0D)"
+# ts is TIMESTAMP_NTZ: a difference to 1970 does not depend on the session time zone
+SPARK_EPOCH = "(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1000000.0D)"
 DUCK_EPOCH = "(epoch_us(ts) / 1000000.0::DOUBLE)"
 
 FLOWS = """
