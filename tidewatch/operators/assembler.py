@@ -308,15 +308,20 @@ def flow_table(assigned: DataFrame, profile: Profile = CLASSIC) -> DataFrame:
         "first_hi": src_is_hi.cast("int")})
     gap_s = F.col("iat") / 1e6
 
-    # active / idle: islands of updates; a closing packet only updates when its subflow test fires
+    # active / idle: islands of updates; a closing packet only updates when its subflow test fires.
+    # Everything stays a window inside the flow, so the packets are read and shuffled once.
     updates = F.lit(True) if profile.subflow_every_packet else (~F.col("closing") | (gap_s > SUBFLOW_GAP))
     rows = rows.withColumn("upd", F.coalesce(updates, F.lit(True)) | F.col("opener"))
     upd = W.partitionBy(*flow, "upd").orderBy("ts_us", "pid")
     upd_gap = F.when(F.col("upd"), F.col("ts_us") - F.lag("ts_us").over(upd))
     rows = rows.withColumn("idle", F.when(upd_gap > ACTIVITY_TIMEOUT * 1e6, upd_gap).cast("double"))
     rows = rows.withColumn("act", F.sum(F.col("idle").isNotNull().cast("int")).over(upd))
-    spans = rows.where("upd").groupBy(*flow, "act").agg((F.max("ts_us") - F.min("ts_us")).cast("double").alias("len"), F.max("idle").alias("idle"))
-    active = spans.groupBy(*flow).agg(*_stats(F.when(F.col("len") > 0, F.col("len")), "Active"), *_stats(F.col("idle"), "Idle"))
+    island = W.partitionBy(*flow, "upd", "act")
+    length = (F.max("ts_us").over(island) - F.min("ts_us").over(island)).cast("double")
+    first = F.row_number().over(island.orderBy("ts_us", "pid")) == 1
+    rows = rows.withColumn("active", F.when(F.col("upd") & first & (length > 0), length))
+    if profile.bulk:
+        rows = _bulk(rows, flow)
 
     p, fwd, op = F.col("payload_len").cast("double"), F.col("fwd"), F.col("opener")
     # the length statistics hold the first packet twice
@@ -353,6 +358,7 @@ def flow_table(assigned: DataFrame, profile: Profile = CLASSIC) -> DataFrame:
         F.coalesce(F.sum(on(fwd & ~op & (p >= 1), F.lit(1))), F.lit(0)).alias("act_data_pkt_fwd"),
         F.max_by(F.when(once & ~fwd, F.col("tcp_window")), F.when(once & ~fwd, F.struct("ts_us", "pid"))).alias("_bwin"),
         F.sum(on(~op & (gap_s > SUBFLOW_GAP), F.lit(1))).alias("_sub_gap"),
+        *_stats(on(every, F.col("active")), "Active"), *_stats(on(every, F.col("idle")), "Idle"),
         *[flag_sum(f).alias(f"flag_{f}") for f in FLAG_CANONICAL],
         *moment("pkt_ttl", "ttl"), *moment("pkt_win", "tcp_window", F.col("is_tcp")), *moment("pkt_payload", "payload_len"),
         *moment("pkt_framelen", "frame_len"),
@@ -362,21 +368,28 @@ def flow_table(assigned: DataFrame, profile: Profile = CLASSIC) -> DataFrame:
         F.coalesce(F.sum(on(F.col("is_tcp") & (F.col("syn") != 0), F.lit(1))), F.lit(0)).alias("syn_packet_count"),
         F.coalesce(F.sum(on(F.col("is_other"), F.lit(1))), F.lit(0)).alias("non_tcp_udp_packet_count"),
     ]
-    base = twice.groupBy(*flow).agg(*aggs).join(active, flow)
     if profile.bulk:
-        base = base.join(_bulk(rows, flow), flow, "left")
+        aggs += [F.count(on(every, F.col("run_n"))).alias("_k"), *[F.sum(on(every, F.col(f"run_{c}"))).alias(f"_k{c}") for c in ("n", "s", "u")]]
+    base = twice.groupBy(*flow).agg(*aggs)
     return _finish(base.where(F.col("fwd_pkts") + F.col("bwd_pkts") > 1), profile)
 
 
 def _bulk(rows: DataFrame, flow: list[str]) -> DataFrame:
-    """Runs of at least four payload packets with gaps of at most one second (all booked as backward)."""
-    data = rows.where(F.col("payload_len") > 0)
-    order = W.partitionBy(*flow).orderBy("ts_us", "pid")
+    """Runs of at least four payload packets with gaps of at most one second (all booked as backward).
+
+    The first packet of a run carries its packets, bytes and microseconds.
+    """
+    rows = rows.withColumn("_data", F.col("payload_len") > 0)
+    lane = [*flow, "_data"]
+    order = W.partitionBy(*lane).orderBy("ts_us", "pid")
     far = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(order)) / 1e6 > BULK_GAP, F.lit(True))
-    runs = data.withColumn("_far", far).withColumn("_run", F.sum(F.col("_far").cast("int")).over(order)).groupBy(*flow, "_run").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("payload_len").alias("size"), (F.max("ts_us") - F.min("ts_us")).alias("us"))
-    return runs.where(F.col("n") >= BULK_PACKETS).groupBy(*flow).agg(
-        F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_kn"), F.sum("size").alias("_ks"), F.sum("us").alias("_ku"))
+    rows = rows.withColumn("_far", far).withColumn("_run", F.sum(F.col("_far").cast("int")).over(order))
+    run = W.partitionBy(*lane, "_run")
+    n = F.count(F.lit(1)).over(run)
+    told = F.col("_data") & F.col("_far") & (n >= BULK_PACKETS)
+    return rows.withColumns({
+        "run_n": F.when(told, n), "run_s": F.when(told, F.sum("payload_len").over(run)),
+        "run_u": F.when(told, F.max("ts_us").over(run) - F.min("ts_us").over(run))}).drop("_data", "_far", "_run")
 
 
 def _finish(base: DataFrame, profile: Profile) -> DataFrame:

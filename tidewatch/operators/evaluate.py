@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import BENIGN
 from tidewatch.functions.columns import ratio
 from tidewatch.functions.grouped import running_totals
+from tidewatch.session import durable
 
 SCORE_BUCKETS = 4096
 MIN_SUPPORT = 8
@@ -231,7 +232,7 @@ def per_family_scores(rows: DataFrame, group: list[str], family: str = "dominant
     family (families are a short list), so the background is never multiplied row by row.
     Families with fewer than ``min_support`` positives are kept as skipped.
     """
-    counts = score_counts(rows.where(~F.col(family).isin("?", "")), [*group, family], label, score)
+    counts = durable(score_counts(rows.where(~F.col(family).isin("?", "")), [*group, family], label, score))
     own = counts.where(F.col(family) != BENIGN)
     support = own.groupBy(*group, family).agg(F.sum("pos").alias("_pos"), F.sum("n").alias("windows"))
     enough = support.where(F.col("_pos") >= min_support).select(*group, F.col(family).alias("_fam"))

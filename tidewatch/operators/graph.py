@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import is_internal
 from tidewatch.functions.grouped import quantiles
+from tidewatch.session import durable
 
 HOSTS_PER_WINDOW = 32
 # Order of the 14 node features.
@@ -73,7 +74,7 @@ def node_table(edges: DataFrame, hosts: DataFrame, by: list[str]) -> DataFrame:
 
 def window_graph(assigned: DataFrame, by: list[str], n: int = HOSTS_PER_WINDOW) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of every window."""
-    edges = port_edges(assigned, by)
+    edges = durable(port_edges(assigned, by))      # reduced flows, read by every later step
     hosts = top_hosts(edges, by, n)
     kept = kept_edges(edges, hosts, by)
     return node_table(kept, hosts, by), edge_table(kept, by)

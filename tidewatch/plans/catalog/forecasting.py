@@ -89,7 +89,7 @@ SELECT day, window_index, {bigs('y_attack')}, dominant_family, coalesce(CASE WHE
 
 
 def weekday_split(spark, sf):
-    rows = ops.time_features(base(spark, sf), HOURLY).withColumn("date", F.col("day")).withColumn(
+    rows = durable(ops.time_features(base(spark, sf), HOURLY)).withColumn("date", F.col("day")).withColumn(
         "day", F.date_format(F.col("day").cast("date"), "EEEE"))
     out = splits.assign_split(rows, SplitConfig(mode="day"), HOURLY)
     return tidy(out.select(F.col("date").alias("day"), "window_index", "y_attack", "dominant_family", "split"))
