@@ -1 +1,8 @@
 """Network telemetry and early-warning analytics as plain PySpark DataFrame functions."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions that run in Python workers travel by value, so executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
