@@ -24,7 +24,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = local_session(cpus, "bench")
     queries, oracles = load()
