@@ -371,3 +371,29 @@ def test_scan_statistics_rows(spark):
 def test_feature_contract(spark):
     assert len(FEATURES) == 53 and len(set(FEATURES)) == 53
     assert len(contract.FLOW_NUMBERS) == 63 and len(contract.PACKET_NUMBERS) == 26
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_episode_chrono_against_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    spec, index = [], 0
+    for _ in range(80):
+        index += 1 if rng.random() < 0.9 else 4
+        spec.append((index, int(rng.random() < 0.25)))
+    df = rows(spark, [("d", i, a, "Bot" if a else "BENIGN") for i, a in spec],
+              "day string, window_index bigint, y_attack int, dominant_family string")
+    eps = [r["episode"] for r in splits.split_episodes(df, 2).orderBy("window_index").collect()]
+    wi = [i for i, _ in spec]
+    want = ["train"] * len(spec)
+    for e in sorted({x for x in eps if x is not None}):
+        at = [k for k, x in enumerate(eps) if x == e]
+        i, j = at[0], at[-1]
+        lo, width = max(0, i - 6), None
+        width = max(wi[j] - wi[i] + 1 + i - lo, 1)
+        for k in range(lo, min(j + 7, len(spec))):
+            part = (wi[k] - wi[lo]) / width
+            want[k] = "train" if part <= 0.6 else "val" if part <= 0.8 else "test"
+    got = splits.assign_split(df, SplitConfig(mode="episode_chrono", benign_sample=0.0), WindowConfig()).orderBy("window_index").collect()
+    assert [r["split"] for r in got] == want
+    some = splits.assign_split(df, SplitConfig(mode="episode_chrono", benign_sample=1.0), WindowConfig()).where("y_attack = 0").collect()
+    assert {r["split"] for r in some} == {"val", "test"}
