@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -34,17 +31,17 @@ def local_session(cores: str = "8", name: str = "tidewatch", **extra: str) -> Sp
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a small intermediate table once and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``;
-    only a session without that setting (a local test) gets a folder of its own.
+    Only where the session does not set it, as in tests, intermediate tables go below the warehouse folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared folder and continue from the files."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewatch-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
