@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, lines, mixing, oracles, quality, simhash
+from tidewatch.llm import decontam, lines, lm, mixing, oracles, quality, simhash
 from tidewatch.llm.common import read
 
 
@@ -29,6 +29,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col(removed).alias("n_removed"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -37,7 +41,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_line_dedup": op6_line_dedup,
-    "op9_decontamination": op9_decontamination,
+    "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op6_line_dedup": oracles.LINES,
