@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import lines, mixing, quality
+from tidewatch.llm import licenses, lines, mixing, quality
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -91,3 +91,29 @@ m AS (SELECT rid, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)"""
+
+
+def _licenses() -> str:
+    line = "trim(regexp_replace(line, '{}', ' ', 'g'))".format(licenses.PUNCTUATION)
+    for other, usual in licenses.SPELLINGS:
+        line = f"replace({line}, '{other}', '{usual}')"
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
+    canonical = f"CASE WHEN regexp_matches(line, '{licenses.COPYRIGHT}') THEN '' ELSE {line} END"
+    return rf"""
+WITH k AS (SELECT digest, min(license) AS license FROM (
+       SELECT license, sha256(string_agg(c, ' ' ORDER BY i)) AS digest
+       FROM (SELECT rid, license, i, {canonical} AS c FROM (
+               SELECT rid, license, unnest(l) AS line, unnest(range(len(l))) AS i
+               FROM (SELECT row_number() OVER () AS rid, license, string_split(lower(text), chr(10)) AS l FROM (VALUES {known}) v(license, text))))
+       WHERE c <> '' GROUP BY rid, license) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT rid, i, {canonical} AS c FROM (
+        SELECT rid, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT rid, string_split(lower(text), chr(10)) AS l FROM d))),
+w AS (SELECT rid, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM l WHERE c <> '' GROUP BY rid),
+n AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS notices FROM (
+        SELECT DISTINCT rid, license FROM l JOIN k ON sha256(l.c) = k.digest WHERE c <> '') GROUP BY rid)
+SELECT doc_id, coalesce(w.digest, sha256('')) AS digest, license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN w USING (rid) LEFT JOIN k ON k.digest = coalesce(w.digest, sha256('')) LEFT JOIN n USING (rid)"""
+
+
+LICENSES = _licenses()

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, lines, lm, mixing, oracles, quality, simhash
+from tidewatch.llm import decontam, html, licenses, lines, lm, mixing, oracles, quality, simhash, toxicity, urls
 from tidewatch.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.classify(read(spark, sf_dir, "documents"), labels, ("low_quality", "toxic")).withColumnRenamed("id", "doc_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -24,11 +29,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, removed = lines.strip_boilerplate(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return left.select("doc_id", F.col(removed).alias("n_removed"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.fit(urls.labelled_table(spark)))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -39,11 +52,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op6_line_dedup": op6_line_dedup,
-    "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination,
+    q.__name__: q for q in (
+        op1_toxicity, op2_mixing, op3_simhash, op4_quality, op5_html, op6_line_dedup, op7_url_filter, op8_lm_scoring,
+        op9_decontamination, op10_licenses)
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op6_line_dedup": oracles.LINES,
-    "op9_decontamination": oracles.DECONTAMINATION,
+    "op9_decontamination": oracles.DECONTAMINATION, "op10_licenses": oracles.LICENSES,
 }

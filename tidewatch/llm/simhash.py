@@ -173,15 +173,17 @@ def links(classes: DataFrame, distance: int = DISTANCE, partitions: int = PARTIT
     equal = {r["p"]: r["pairs"] for r in sizes.groupBy("p").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).collect()}
     chosen = allocate([expected(g, together, float(equal.get(p, 0.0)), distance) for p, g in enumerate(groups)], distance)
 
-    probes = classes.select("fp", F.explode(F.concat(*[
-        F.transform(_near(_take(fp, bits), bits, t), lambda v, p=p: F.struct(F.lit(p).alias("p"), v.alias("value")))
-        for p, (bits, t) in enumerate(zip(groups, chosen)) if t >= 0])).alias("k")).select("fp", "k.*")
+    def values(p: int) -> Column:
+        near = _near(_take(fp, groups[p]), groups[p], chosen[p])
+        return F.transform(near, lambda v: F.struct(F.lit(p).alias("p"), v.alias("value")))
+
     used = [p for p, t in enumerate(chosen) if t >= 0]
     shared = filed.where(F.col("p").isin(used))
     if max(chosen) == 0:                         # probes equal what is filed: buckets of one class have no candidates
         shared = store(shared.join(sizes, ["p", "value"]), "shared-buckets")
         probed = shared
     else:
+        probes = classes.select("fp", F.explode(F.concat(*map(values, used))).alias("k")).select("fp", "k.*")
         full = filed.groupBy("p", "value").agg(F.count(F.lit(1)).alias("n"))
         shared = store(shared.join(full, ["p", "value"]), "shared-buckets")
         probed = store(probes.join(full, ["p", "value"]), "probes")
