@@ -10,7 +10,8 @@ from tidewatch.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores="4", name="tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(cores="4", name="tests", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
