@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, store
+from tidewatch.llm.common import discard, release, store
 
 ORDER = 2
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
 RANGES_PER_PARTITION = 2
 HELD_OUT, DEVELOPMENT, FOLDS = 2, 5, 7
 CONTEXT_EDGES = (1, 2, 3, 5, 9, 17, 33, 65, 257, 1025, 16385)
@@ -53,7 +53,7 @@ def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that compression finds the zeros."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _from_planes(blob: bytes, kind: str) -> np.ndarray:
@@ -214,10 +214,6 @@ def _ratios(counts: list[np.ndarray], starts: np.ndarray, n_tokens: float, n_doc
     return np.stack(out), np.searchsorted(CONTEXT_EDGES, context, side="right")
 
 
-def _n_docs(parts: np.ndarray) -> int:
-    return int((parts != HELD_OUT).sum())
-
-
 def fit_weights(counts: DataFrame, order: int, stats: dict, rounds: int = 30, tolerance: float = 1e-4) -> np.ndarray:
     """Mixture weights per context group by expectation-maximisation over all development tokens.
 
@@ -287,9 +283,11 @@ def score(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", text:
         F.sum(F.when(kept, n)).alias("kept_tokens"), F.count(F.when(kept, 1)).alias("kept_docs")).first()
     stats = {k: float(v or 0) for k, v in whole.asDict().items()}
     stats["vocabulary"] = float(totals.where("n = 1").agg(F.sum("fresh")).first()[0] or 0)
+    release(spark)
     counts = token_counts(cut, totals, order)
     discard(cut)
     discard(totals)
+    release(spark)
     weights = fit_weights(counts, order, stats)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
