@@ -98,14 +98,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
 
     models: list[list[np.ndarray]] = []          # per category: one per fold left out, then the one of all
     for at in range(len(categories)):
-        found = spread.groupBy("left_out").applyInPandas(
-            _fold_fit(f"y{at}", list(models)), "left_out int, place long, weight double").toPandas()
-        own = []
-        for k in range(folds + 1):
-            weights = np.zeros(BUCKETS + at + 1)
-            mine = found[found["left_out"] == k]
-            weights[mine["place"].to_numpy(dtype=np.int64)] = mine["weight"]
-            own.append(weights)
+        found = spread.groupBy("left_out").applyInPandas(_fold_fit(f"y{at}", list(models)), "left_out int, weights binary")
+        fitted = {r["left_out"]: np.frombuffer(r["weights"], dtype=np.float32) for r in found.collect()}   # a megabyte per fold
+        own = [fitted.get(k, np.zeros(BUCKETS + at + 1, dtype=np.float32)) for k in range(folds + 1)]
         models.append(own)
     return [m[folds] for m in models]
 
@@ -115,8 +110,7 @@ def _fold_fit(label: str, models: list[list[np.ndarray]]) -> Callable[[pd.DataFr
     def one(part: pd.DataFrame) -> pd.DataFrame:
         words = [np.asarray(w) for w in part["words"]]
         weights = fit(words, _earlier(words, part["fold"].to_numpy(), models), part[label].to_numpy())
-        use = np.flatnonzero(weights)
-        return pd.DataFrame({"left_out": part["left_out"].iloc[0], "place": use, "weight": weights[use]})
+        return pd.DataFrame({"left_out": [part["left_out"].iloc[0]], "weights": [weights.astype(np.float32).tobytes()]})
 
     return one
 
