@@ -141,7 +141,8 @@ def near_places(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], reach
 def _block_matches(index: DataFrame, ids: list, phrases: list[tuple[int, tuple[bytes, ...]]], id_kind: str, slack: int | None) -> DataFrame:
     spark = index.sparkSession
     vocabulary = sorted({w for _, p in phrases for w in p})
-    terms = spark.createDataFrame([(None,), *[(bytearray(t),) for t in vocabulary]], "term binary")
+    # stored, so that Spark knows its size and needn't shuffle the index if the block's vocabulary is small
+    terms = store(spark.createDataFrame([(None,), *[(bytearray(t),) for t in vocabulary]], "term binary").coalesce(1), "test-terms")
     rows = index.join(terms, index["term"].eqNullSafe(terms["term"]), "left_semi")
     by_phrase: dict[tuple[bytes, ...], list[int]] = {}
     for number, phrase in phrases:
@@ -205,7 +206,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
     words are never found; repeated rows and repeated items are taken as they come, an item id counts once.
     """
     index = build_index(docs, id_column, text)
-    found = matches(index, items, item_id, item_text, width)
+    found = store(matches(index, items, item_id, item_text, width), "benchmark-matches")
     place = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))
     hit = found.select("segment", "doc", place.alias("place")).distinct().groupBy("segment", "doc").agg(F.count(F.lit(1)).alias("n_hit"))
     which = (
