@@ -115,15 +115,26 @@ def test_sequences_contiguity_purity_and_checks(spark):
     assert sorted(r["window_index"] for r in broken.collect()) == [2, 3, 4, 14, 15, 16]
 
 
-def test_scaler_small_and_large_forms_agree(spark):
+def test_scaler_against_numpy(spark):
     cfg = SequenceConfig(history=3, horizon=2)
     df = sequence_windows(spark, n=40)
     seqs = sequences.build_sequences(df, cfg, features=("flow_count",))
     flat = np.concatenate([np.array(r["x"]).ravel() for r in seqs.where("split = 'train'").collect()])
     want = (np.median(flat), np.subtract(*np.percentile(flat, [75, 25])))
-    for small in (10_000, 0):
-        r = sequences.fit_scaler(seqs, df, cfg, ("flow_count",), small=small).first()
-        assert (r["median"], r["iqr"]) == pytest.approx(want)
+    r = sequences.fit_scaler(seqs, df, cfg, ("flow_count",)).first()
+    assert (r["median"], r["iqr"]) == pytest.approx(want)
+
+
+def test_every_positive_sequence_can_be_a_mixup_partner(spark):
+    train = rows(spark, [(i, [[float(i)]], [i % 2], [0]) for i in range(60)], "id bigint, x array<array<double>>, y_atk array<int>, y_prog array<int>")
+    mates = augment.mixup_partners(train, ["id"], 7).collect()
+    assert sorted(r["_mate_no"] for r in mates) == list(range(30))
+    assert sorted(r["_mate"]["x"][0][0] for r in mates) == [float(i) for i in range(1, 60, 2)]
+
+
+def test_day_stays_without_a_source_name(spark):
+    assert clean.assign_day(rows(spark, [("Monday",)], "day string")).first()["day"] == "Monday"
+    assert clean.assign_day(rows(spark, [(1,)], "x int")).first()["day"] == "Unknown"
 
 
 @pytest.mark.parametrize("values", [
@@ -138,12 +149,11 @@ def test_exact_quantiles_against_numpy(spark, values):
         assert [got[p] for p in probs] == pytest.approx([np.percentile(values, 100 * p) for p in probs], rel=1e-9, abs=1e-9)
 
 
-def test_small_table_join_has_a_salted_form(spark):
+def test_salted_join_equals_a_join(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     small = rows(spark, [(0, "a"), (1, "b"), (2, "c")], "k bigint, t string")
     want = sorted((r["id"], r["t"]) for r in df.join(small, "k").collect())
-    for limit in (10, 1):
-        assert sorted((r["id"], r["t"]) for r in G.attach_small(df, small, ["k"], F.col("id"), max_rows=limit).collect()) == want
+    assert sorted((r["id"], r["t"]) for r in G.salted_join(df, small, ["k"], F.col("id")).collect()) == want
 
 
 def test_hash_rank_is_a_permutation(spark):

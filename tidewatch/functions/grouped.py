@@ -11,29 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_TABLE_ROWS = 200_000
-SALTS = 32
 
-
-def attach_small(rows: DataFrame, small: DataFrame, on: list[str], salt: Column,
-                 max_rows: int = SMALL_TABLE_ROWS, how: str = "inner") -> DataFrame:
-    """Join a table that is expected to be small but may not be.
-
-    The small side is fetched up to ``max_rows + 1`` rows. Within the bound it is
-    broadcast; beyond it the join is a salted shuffle join, so a key that holds
-    a large part of ``rows`` still spreads over ``SALTS`` tasks. ``salt`` is any
-    row value that varies within a key.
-    """
-    got = small.limit(max_rows + 1).collect()
-    if len(got) <= max_rows:
-        local = rows.sparkSession.createDataFrame(got, schema=small.schema)
-        return rows.join(F.broadcast(local), on, how)
-    return salted_join(rows, small, on, salt, how)
-
-
-def salted_join(rows: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
-    """Equi join where one key may hold a large part of ``rows``."""
+def salted_join(rows: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Equi join where one key may hold a large part of ``rows``; a key is cut into as many pieces as a shuffle has partitions."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, on + ["_salt"], how).drop("_salt")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import AugmentConfig, SequenceConfig, WindowConfig
 from tidewatch.functions.columns import unit_draw
-from tidewatch.functions.grouped import attach_small, hash_rank
+from tidewatch.functions.grouped import hash_rank
 from tidewatch.operators.windows import TIME, origins
 from tidewatch.session import durable
 
@@ -33,10 +33,10 @@ GAP_WINDOWS = 120.0
 
 def flow_split_labels(flows: DataFrame, windows: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
     """Flows with ``_wi`` and ``_split`` of their window; a window without a split trains."""
-    start = attach_small(flows, origins(flows, ["day"]), ["day"], F.col(TIME))
+    start = flows.join(origins(flows, ["day"]), ["day"])
     rows = start.withColumn("_wi", F.floor((F.col(TIME) - F.col("t0")) / cfg.window_seconds)).drop("t0")
     labels = windows.select("day", F.col("window_index").alias("_wi"), F.col("split").alias("_split"))
-    joined = attach_small(rows, labels, ["day", "_wi"], F.col(TIME), how="left")
+    joined = rows.join(labels, ["day", "_wi"], "left")
     return joined.withColumn("_split", F.coalesce("_split", F.lit("train")))
 
 
@@ -89,7 +89,7 @@ def _context(labelled: DataFrame, plan: DataFrame) -> DataFrame:
     """Flows of the episode windows with their margins: the range becomes an equi join on window numbers."""
     cells = plan.select("day", "plan_id", F.col("attack_family").alias("fam"), "tempo", "drops", "shuffles", "v",
                         F.explode(F.sequence("lo", "hi")).alias("_wi"))
-    rows = attach_small(labelled, cells, ["day", "_wi"], F.col("flow_id"))
+    rows = labelled.join(cells, ["day", "_wi"])
     return rows.where((F.col("is_attack") == 0) | (F.col("attack_family") == F.col("fam")))
 
 
@@ -152,7 +152,7 @@ def _pads(labelled: DataFrame, plan: DataFrame, cfg: AugmentConfig, need: int) -
     first = F.col("_o.s.start") + F.floor(unit_draw(cfg.seed, F.lit("padstart"), F.col("plan_id")) * (room + 1))
     cells = picked.select("plan_id", F.col("attack_family").alias("fam"), F.col("_o.day").alias("day"), first.alias("_f"))
     cells = cells.withColumn("_wi", F.explode(F.sequence(F.col("_f"), F.col("_f") + need - 1))).drop("_f")
-    return attach_small(labelled, cells, ["day", "_wi"], F.col("flow_id"))
+    return labelled.join(cells, ["day", "_wi"])
 
 
 def augment_flows(flows: DataFrame, windows: DataFrame, cfg: AugmentConfig = AugmentConfig(), seq: SequenceConfig = SequenceConfig(),
@@ -169,12 +169,12 @@ def augment_flows(flows: DataFrame, windows: DataFrame, cfg: AugmentConfig = Aug
     keep = [c for c in real.columns]
     body = rows.select("plan_id", "fam", "tempo", *keep)
     first = body.groupBy("plan_id").agg(F.min(TIME).alias("_t0"))
-    body = attach_small(body, first, ["plan_id"], F.col("flow_id")).withColumn(TIME, (F.col(TIME) - F.col("_t0")) * F.col("tempo"))
+    body = body.join(first, ["plan_id"]).withColumn(TIME, (F.col(TIME) - F.col("_t0")) * F.col("tempo"))
     body = body.withColumn("_part", F.lit(1)).drop("tempo", "_t0")
     if cfg.transplant:
         pad = _pads(labelled, plan, cfg, seq.history + 3).select("plan_id", "fam", *keep)
         start = pad.groupBy("plan_id").agg(F.min(TIME).alias("_t0"))
-        pad = attach_small(pad, start, ["plan_id"], F.col("flow_id")).withColumn(TIME, F.col(TIME) - F.col("_t0")).drop("_t0")
+        pad = pad.join(start, ["plan_id"]).withColumn(TIME, F.col(TIME) - F.col("_t0")).drop("_t0")
         body = body.unionByName(pad.withColumn("_part", F.lit(0)))
     body = durable(body)
     # one row per variant: where it starts on its family's day
@@ -185,7 +185,7 @@ def augment_flows(flows: DataFrame, windows: DataFrame, cfg: AugmentConfig = Aug
     span = F.col("_len") + F.col("_shift") + GAP_WINDOWS * window.window_seconds
     order = W.partitionBy("fam").orderBy("built_before", "plan_id")
     ends = ends.withColumn("_base", F.sum(span).over(order) - span).select("plan_id", "_shift", "_base")
-    placed = attach_small(body, ends, ["plan_id"], F.col("flow_id"))
+    placed = body.join(ends, ["plan_id"])
     made = F.concat(F.lit("__aug_"), F.col("fam"), F.lit("__"))
     placed = placed.withColumns({
         TIME: F.col(TIME) + F.col("_base") + F.when(F.col("_part") == 1, F.col("_shift")).otherwise(0.0),
@@ -224,20 +224,17 @@ def _normal(*draw_key) -> Column:
 
 
 def mixup_partners(train: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """One positive sequence per hash bucket, about four positives to a bucket."""
-    positive = train.where(F.array_max("y_atk") > 0)
-    buckets = max(1, positive.count() // 4)
-    b = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets))
-    who = F.struct(unit_draw(seed, F.lit("partner"), *[F.col(k) for k in keys]).alias("u"), *keys)
-    one = positive.groupBy(b.alias("_bucket")).agg(F.min_by(F.struct("x", "y_atk", "y_prog"), who).alias("_mate"))
-    return one.withColumn("_buckets", F.lit(buckets))
+    """All positive sequences, numbered from 0 in the order of a draw."""
+    positive = train.where(F.array_max("y_atk") > 0).select(*keys, F.struct("x", "y_atk", "y_prog").alias("_mate"))
+    ranked = hash_rank(positive, [], unit_draw(seed, F.lit("partner"), *[F.col(k) for k in keys]), keys, "_mate_no")
+    return ranked.select("_mate_no", "_mate")
 
 
 def augment_sequences(train: DataFrame, keys: list[str], cfg: SequenceAugment = SequenceAugment(), draw: int = 0) -> DataFrame:
     """Mixup, feature jitter, window dropout and a small time roll of train sequences.
 
-    ``draw`` numbers the pass, so each epoch sees other values. The partner comes
-    from an equi join on a drawn bucket number.
+    ``draw`` numbers the pass, so each epoch sees other values. Any positive sequence
+    can be the partner: its number is drawn and joined.
     """
     me = [F.col(k) for k in keys]
 
@@ -245,10 +242,8 @@ def augment_sequences(train: DataFrame, keys: list[str], cfg: SequenceAugment =
         return unit_draw(cfg.seed, F.lit(draw), *what, *me)
 
     mates = mixup_partners(train, keys, cfg.seed)
-    buckets = mates.select("_buckets").first()
-    n = buckets["_buckets"] if buckets else 1
-    rows = train.withColumn("_bucket", F.floor(u(F.lit("mate")) * n).cast("bigint"))
-    rows = rows.join(mates.drop("_buckets"), "_bucket", "left")
+    n = train.where(F.array_max("y_atk") > 0).count()
+    rows = train.withColumn("_mate_no", F.floor(u(F.lit("mate")) * n).cast("bigint")).join(mates, "_mate_no", "left")
     mix = (F.array_max("y_atk") > 0) & (u(F.lit("mix")) < cfg.p_mixup) & F.col("_mate").isNotNull()
     beta = _beta(cfg.mixup_alpha, cfg.seed, F.lit(draw), *me)
     rows = rows.withColumns({"_mix": mix, "_lam": F.greatest(beta, 1.0 - beta)})
@@ -285,7 +280,7 @@ def augment_sequences(train: DataFrame, keys: list[str], cfg: SequenceAugment =
     source = lambda i: F.greatest(F.least(i - F.col("_s"), F.size("x") - 1), F.lit(0)) + 1
     rolled = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: F.element_at("x", source(i).cast("int")))
     rows = rows.withColumn("x", F.when(F.col("_s") != 0, rolled).otherwise(F.col("x")))
-    return rows.drop("_bucket", "_mate", "_mix", "_lam", "_on", "_at", "_s")
+    return rows.drop("_mate", "_mix", "_lam", "_on", "_at", "_s")
 
 
 def rebalance(train: DataFrame, keys: list[str], min_positive: float = 0.3, seed: int = 1337) -> DataFrame:

@@ -27,7 +27,10 @@ def label_flows(df: DataFrame) -> DataFrame:
 
 
 def assign_day(df: DataFrame) -> DataFrame:
+    """Day from the source name; without one an existing ``day`` stays, else it is ``Unknown``."""
     source = next((c for c in ("source_day", "source_file") if c in df.columns), None)
+    if source is None and "day" in df.columns:
+        return df
     return df.withColumn("day", day_name(F.col(source)) if source else F.lit("Unknown"))
 
 

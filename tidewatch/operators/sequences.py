@@ -91,9 +91,6 @@ def check_sequences(sequences: DataFrame, windows: DataFrame, cfg: SequenceConfi
         raise LeakageError(f"{bad} span windows carry another split")
 
 
-SMALL_FIT = 200_000
-
-
 def covering_counts(sequences: DataFrame, windows: DataFrame, cfg: SequenceConfig = SequenceConfig(), keys=("day",)) -> DataFrame:
     """Windows with ``_w``: how many real train histories cover them (all train ones if none is real)."""
     keys = list(keys)
@@ -107,26 +104,18 @@ def covering_counts(sequences: DataFrame, windows: DataFrame, cfg: SequenceConfi
 
 
 def fit_scaler(sequences: DataFrame, windows: DataFrame, cfg: SequenceConfig = SequenceConfig(), features=FEATURES,
-               keys=("day",), small: int = SMALL_FIT) -> DataFrame:
+               keys=("day",)) -> DataFrame:
     """Median and interquartile range per feature over real train histories; range 0 becomes 1.
 
     A window counts once per history that covers it, so it enters with that count as
-    its weight instead of being repeated. Up to ``small`` windows one weighted
-    ``percentile`` aggregate is enough; beyond that the quantiles are located in two levels.
+    its weight instead of being repeated. The quantiles are located in two levels.
     """
     rows = covering_counts(sequences, windows, cfg, keys)
     values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])
-    if windows.limit(small + 1).count() <= small:
-        thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        one = rows.agg(*[F.percentile(F.col(f).cast("double"), thirds, F.col("_w")).alias(f"_q{i}") for i, f in enumerate(features)])
-        spread = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_q{i}").alias("q")) for i in range(len(features))]))
-        wide = one.select(spread.alias("s")).select(
-            "s.i", F.col("s.q")[0].alias("q1"), F.col("s.q")[1].alias("median"), F.col("s.q")[2].alias("q3"))
-    else:
-        long = rows.select("_w", F.explode(values).alias("x")).select("_w", "x.i", "x.v")
-        q = exact_quantiles(long, ["i"], "v", [0.25, 0.5, 0.75], "_w")
-        wide = q.groupBy("i").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in
-                                    ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    long = rows.select("_w", F.explode(values).alias("x")).select("_w", "x.i", "x.v")
+    q = exact_quantiles(long, ["i"], "v", [0.25, 0.5, 0.75], "_w")
+    wide = q.groupBy("i").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in
+                                ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     names = F.array(*[F.lit(f) for f in features])
     width = F.col("q3") - F.col("q1")
     return wide.select("i", F.element_at(names, F.col("i") + 1).alias("feature"), "median",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import BENIGN, DELTA_FEATURES, FEATURES, WindowConfig
 from tidewatch.functions.columns import finite_or_zero
-from tidewatch.functions.grouped import attach_small, entropy_aggregate, salted_join, value_counts
+from tidewatch.functions.grouped import entropy_aggregate, salted_join, value_counts
 
 TIME = "flow_start_epoch"
 SIZE_BINS = 16
@@ -29,7 +29,7 @@ def assign_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), keys=("
     """Add ``window_index`` and ``window_start``; overlapping windows repeat a row."""
     keys = list(keys)
     start = origins(flows, keys) if start is None else start
-    rows = attach_small(flows, start, keys, F.col(TIME))
+    rows = flows.join(start, keys)
     since = F.col(TIME) - F.col("t0")
     if cfg.stride_seconds >= cfg.window_seconds:
         index: Column = F.floor(since / cfg.window_seconds)
