@@ -132,6 +132,25 @@ def test_every_positive_sequence_can_be_a_mixup_partner(spark):
     assert sorted(r["_mate"]["x"][0][0] for r in mates) == [float(i) for i in range(1, 60, 2)]
 
 
+def test_pads_of_variants_differ_and_come_from_other_days(spark):
+    flows = rows(spark, [(d, w, 0, "train", 0.0) for d in ("Monday", "Tuesday", "Wednesday") for w in range(12)],
+                 "day string, _wi bigint, is_attack int, _split string, flow_start_epoch double")
+    plan = rows(spark, [(f"p{i}", "Tuesday", "Bot", True, 1) for i in range(200)], "plan_id string, day string, attack_family string, rare boolean, v int")
+    got = augment._pads(flows, plan, AugmentConfig(), 5).toPandas()
+    assert (got.groupby("plan_id").size() == 5).all() and got.plan_id.nunique() == 200
+    first = got.groupby("plan_id").agg(day=("day", "min"), last=("day", "max"), start=("_wi", "min"), end=("_wi", "max"))
+    assert (first.day == first["last"]).all() and (first.end - first.start == 4).all()
+    assert set(zip(first.day, first.start)) == {(d, w) for d in ("Monday", "Wednesday") for w in range(8)}
+    assert augment._pads(flows.where("day = 'Tuesday'"), plan, AugmentConfig(), 5).count() == 0
+
+
+def test_rows_repeat_by_their_weight(spark):
+    from pyspark.ml.linalg import Vectors
+    data = spark.createDataFrame([(Vectors.dense([float(i)]), 2.5 if i % 5 == 0 else 0.625) for i in range(1000)], ["features", "weight"])
+    got = models.repeated(data).groupBy("weight").count().toPandas().set_index("weight")["count"]
+    assert 460 < got[2.5] < 540 and 440 < got[0.625] < 560
+
+
 def test_day_stays_without_a_source_name(spark):
     assert clean.assign_day(rows(spark, [("Monday",)], "day string")).first()["day"] == "Monday"
     assert clean.assign_day(rows(spark, [(1,)], "x int")).first()["day"] == "Unknown"

@@ -97,11 +97,10 @@ def sigmoid(score: Column) -> Column:
 
 def unit_draw(seed, *parts) -> Column:
     """Uniform draw in [0, 1) that depends only on the seed and the row's keys."""
-    cols = [F.lit(seed).cast("string")]
-    cols += [p.cast("string") if isinstance(p, Column) else F.lit(p).cast("string") for p in parts]
-    # 52 bits, so that the quotient is exact and never reaches 1.
-    bits = F.shiftrightunsigned(F.xxhash64(*cols), 12)
-    return bits / F.lit(float(2 ** 52))
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in (seed, *parts)]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    # 13 hex digits are 52 bits, so that the quotient is exact and never reaches 1.
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2 ** 52))
 
 
 def number_text(value: Column, digits: int = 2) -> Column:

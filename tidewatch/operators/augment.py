@@ -134,24 +134,36 @@ def benign_stretches(labelled: DataFrame, need: int) -> DataFrame:
     return runs.where(F.col("end") - F.col("start") + 1 >= need)
 
 
+def pad_places(labelled: DataFrame, need: int) -> DataFrame:
+    """Benign stretches with ``_places``, the starts that leave room for ``need`` windows, numbered from ``_from`` by day and start.
+
+    Window grain: counted per day first, then shifted by the days before.
+    """
+    rows = benign_stretches(labelled, need).withColumn("_places", F.col("end") - F.col("start") + 2 - need)
+    days = rows.groupBy("day").agg(F.sum("_places").alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(W.orderBy("day")) - F.col("_n")).drop("_n")
+    inside = F.sum("_places").over(W.partitionBy("day").orderBy("start")) - F.col("_places")
+    return rows.withColumn("_in", inside).join(days, "day").withColumn("_from", F.col("_before") + F.col("_in")).drop("_in", "_before")
+
+
 def _pads(labelled: DataFrame, plan: DataFrame, cfg: AugmentConfig, need: int) -> DataFrame:
     """Benign flows of another day for the odd variants of rare families, rebased to 0.
 
-    Of all stretches only the first two days in hash order matter to a variant (one
-    of them is another day), so they are reduced to these before the join.
+    Every variant draws anew among all places of other days where a pad fits, so that variants differ in day and start.
     """
     wanted = plan.where(F.col("rare") & (F.col("v") % 2 == 1))
-    draws = benign_stretches(labelled, need).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(cfg.max_variants - 1))))
-    draws = draws.withColumn("_u", unit_draw(cfg.seed, F.lit("pad"), F.col("v"), F.col("day"), F.col("start")))
-    per_day = draws.groupBy("v", "day").agg(F.min(F.struct("_u", "start", "end")).alias("s"))
-    two = per_day.withColumn("_r", F.row_number().over(W.partitionBy("v").orderBy("s._u", "day"))).where(F.col("_r") <= 2)
-    options = two.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("_r", "day", "s"))).alias("o"))
-    picked = wanted.join(F.broadcast(options), "v").withColumn(
-        "_o", F.get(F.filter("o", lambda x: x["day"] != F.col("day")), F.lit(0))).where("_o is not null")
-    room = F.col("_o.s.end") - F.col("_o.s.start") + 1 - need
-    first = F.col("_o.s.start") + F.floor(unit_draw(cfg.seed, F.lit("padstart"), F.col("plan_id")) * (room + 1))
-    cells = picked.select("plan_id", F.col("attack_family").alias("fam"), F.col("_o.day").alias("day"), first.alias("_f"))
-    cells = cells.withColumn("_wi", F.explode(F.sequence(F.col("_f"), F.col("_f") + need - 1))).drop("_f")
+    stretches = durable(pad_places(labelled, need))
+    days = stretches.groupBy("day").agg(F.min("_from").alias("_from"), F.sum("_places").alias("_own"))
+    total = stretches.agg(F.sum("_places")).first()[0] or 0
+    # number of the place among those of all other days: the own day's numbers are skipped
+    drawn = wanted.join(days, "day", "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    number = F.floor(unit_draw(cfg.seed, F.lit("pad"), F.col("plan_id")) * (F.lit(total) - F.col("_own")))
+    drawn = drawn.where(F.col("_own") < total).withColumn("_no", number)
+    drawn = drawn.withColumn("_no", F.col("_no") + F.when(F.col("_no") >= F.col("_from"), F.col("_own")).otherwise(0))
+    numbered = stretches.select(F.col("day").alias("_day"), "start", F.posexplode(F.sequence(F.lit(1), "_places")).alias("_at", "_"), "_from").select(
+        "_day", (F.col("_from") + F.col("_at")).alias("_no"), (F.col("start") + F.col("_at")).alias("_f"))
+    picked = drawn.select("plan_id", F.col("attack_family").alias("fam"), "_no").join(numbered, "_no")
+    cells = picked.select("plan_id", "fam", F.col("_day").alias("day"), F.explode(F.sequence(F.col("_f"), F.col("_f") + need - 1)).alias("_wi"))
     return labelled.join(cells, ["day", "_wi"])
 
 
@@ -210,8 +222,10 @@ class SequenceAugment:
 
 
 def _beta(alpha: float, *draw_key) -> Column:
-    """Symmetric Beta draw: the first accepted of 16 pairs of powered uniforms."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(
+    """Symmetric Beta draw for ``alpha`` up to 1: the first accepted of 32 pairs of powered uniforms (half or more are accepted)."""
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("mixup_alpha has to lie in (0, 1]")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(
         F.pow(unit_draw(*draw_key, F.lit("a"), i), F.lit(1.0 / alpha)).alias("x"),
         F.pow(unit_draw(*draw_key, F.lit("b"), i), F.lit(1.0 / alpha)).alias("y")))
     ok = F.get(F.filter(pairs, lambda p: (p["x"] + p["y"] <= 1.0) & (p["x"] + p["y"] > 0.0)), F.lit(0))

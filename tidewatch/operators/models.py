@@ -13,21 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import FEATURES
-from tidewatch.functions.columns import sigmoid
+from tidewatch.functions.columns import sigmoid, unit_draw
 
 WINDOW, SEQUENCE = "window", "sequence"
 
 
 def _perceptron(size: int):
-    return MultilayerPerceptronClassifier(layers=[size, 64, 32, 2], maxIter=80, seed=1337, blockSize=128)
+    return MultilayerPerceptronClassifier(layers=[size, 256, 128, 2], maxIter=80, seed=1337, blockSize=256)
+
+
+def _boosting(size: int):
+    # a tenth of the rows is kept out; rounds end when its loss no longer falls
+    return GBTClassifier(maxIter=300, stepSize=0.07, maxDepth=5, seed=1337, validationIndicatorCol="kept_out", validationTol=0.001)
 
 
 MODELS: dict[str, Callable] = {
-    "logistic_regression": lambda size: LogisticRegression(maxIter=100, regParam=0.01),
-    "random_forest": lambda size: RandomForestClassifier(numTrees=100, maxDepth=12, minInstancesPerNode=2, seed=1337),
-    "gradient_boosting": lambda size: GBTClassifier(maxIter=30, stepSize=0.1, maxDepth=5, seed=1337),
+    "logistic_regression": lambda size: LogisticRegression(maxIter=2000, regParam=0.01, tol=1e-4),
+    "random_forest": lambda size: RandomForestClassifier(numTrees=300, maxDepth=30, minInstancesPerNode=2, seed=1337),  # 30: the most Spark allows
+    "gradient_boosting": _boosting,
     "mlp": _perceptron,
-    "linear_svc": lambda size: LinearSVC(maxIter=100, regParam=0.01),
+    "linear_svc": lambda size: LinearSVC(maxIter=4000, regParam=0.01, tol=1e-4),
     "gaussian_nb": lambda size: NaiveBayes(modelType="gaussian"),
 }
 
@@ -53,9 +58,21 @@ def balanced_weight(label: Column, share: float) -> Column:
 
 
 def fit_horizons(train: DataFrame, name: str, horizon: int, kind: str = WINDOW) -> HorizonModel:
-    """K independent fits; a step with one class becomes the constant predictor of that class."""
-    rows = model_input(train, kind).select("features", "y_atk").persist()
-    shares = rows.agg(*[F.avg(F.col("y_atk")[k].cast("double")).alias(f"p{k}") for k in range(horizon)]).first()
+    """K independent fits; a step with one class becomes the constant predictor of that class.
+
+    Rows are weighted so that both classes count alike; a classifier without weights gets rows repeated by their weight.
+    """
+    draw = vector_to_array("features").cast("string")
+    rows = model_input(train, kind).select("features", "y_atk").withColumn("kept_out", unit_draw(1337, F.lit("kept out"), draw) < 0.1).persist()
+    try:
+        return _fit_steps(rows, name, horizon, kind)
+    finally:
+        rows.unpersist()
+
+
+def _fit_steps(rows: DataFrame, name: str, horizon: int, kind: str) -> HorizonModel:
+    shares = rows.agg(*[F.avg(F.col("y_atk")[k].cast("double")).alias(f"p{k}") for k in range(horizon)],
+                      F.max("kept_out").alias("kept_out")).first()
     size = len(rows.select(vector_to_array("features").alias("a")).first()["a"])
     out = HorizonModel(name, kind)
     for k in range(horizon):
@@ -64,15 +81,25 @@ def fit_horizons(train: DataFrame, name: str, horizon: int, kind: str = WINDOW)
             out.steps.append(float(share))
             continue
         label = F.col("y_atk")[k]
-        data = rows.select("features", label.cast("double").alias("label"), balanced_weight(label, share).alias("weight"))
+        data = rows.select("features", "kept_out", label.cast("double").alias("label"), balanced_weight(label, share).alias("weight"))
         estimator = MODELS[name](size)
+        if estimator.hasParam("validationIndicatorCol") and not shares["kept_out"]:
+            estimator.clear(estimator.validationIndicatorCol)
         if estimator.hasParam("weightCol"):
             estimator.setWeightCol("weight")
+        else:
+            data = repeated(data)
         out.steps.append(estimator.fit(data))
-    rows.unpersist()
     return out
 
 
+def repeated(data: DataFrame) -> DataFrame:
+    """Each row floor(weight) times, and once more with the rest as chance, by a draw of its features."""
+    more = unit_draw(1337, F.lit("repeat"), vector_to_array("features").cast("string")) < F.col("weight") - F.floor("weight")
+    copies = F.floor("weight").cast("int") + more.cast("int")
+    return data.withColumn("_c", copies).where("_c > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_c")
+
+
 def _probability(model) -> Column:
     if "probability" in [p.name.removesuffix("Col") for p in model.params]:
         return vector_to_array("probability")[1]

@@ -136,6 +136,14 @@ SELECT 'family' AS kind, attack_family AS value, {big('count(*)', 'rows')} FROM
 UNION ALL SELECT 'protocol', CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE CAST(protocol AS VARCHAR) END, {big('count(*)', 'rows')} FROM flows GROUP BY 2"""
 
 
+def top(spark, sf):
+    from tidewatch.operators.reports import top_values, upload_histograms
+    return tidy(top_values(upload_histograms(view(spark, sf, "flows"), "attack_family"), 5))
+
+
+TOP = f"SELECT * FROM ({HISTOGRAMS}) ORDER BY rows DESC, value LIMIT 5"
+
+
 def sample(spark, sf):
     flows = view(spark, sf, "flows")
     # 2024-01-05 .. 2024-01-20
@@ -254,6 +262,7 @@ ENTRIES = {
     "upload_normalised": (upload, UPLOAD),
     "upload_summary": (summary, SUMMARY),
     "upload_histograms": (histograms, HISTOGRAMS),
+    "upload_top_values": (top, TOP),
     "systematic_sample": (sample, SAMPLE),
     "endpoint_keys": (keys, KEYS),
     "signed_flow_ids": (flow_ids, FLOW_IDS),

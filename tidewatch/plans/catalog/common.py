@@ -34,6 +34,11 @@ def r6(expression: str, name: str) -> str:
     return f"round(CAST({expression} AS DOUBLE), 6) + 0.0::DOUBLE AS {name}"
 
 
+def unit_sql(*parts: str) -> str:
+    """SQL of ``unit_draw``."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def big(expression: str, name: str) -> str:
     return f"CAST({expression} AS BIGINT) AS {name}"
 

@@ -11,7 +11,7 @@ from tidewatch.operators import forecast, phases, reports, rules, sequences, spl
 from tidewatch.operators import windows as ops
 from tidewatch.plans.catalog.common import (
     GRAIN, HOURLY, SHORT, STATE_INDEX_SQL, TEN_MINUTES, big, bigs, doubles, filled_sql, progression_sql, r6, tidy,
-    time_sql, windows_sql,
+    time_sql, unit_sql, windows_sql,
 )
 from tidewatch.plans.catalog.windows import base, down_sql, kb_sql
 from tidewatch.session import durable
@@ -88,6 +88,20 @@ n AS (SELECT *, coalesce(last_value(held IGNORE NULLS) OVER (PARTITION BY day OR
 SELECT day, window_index, {bigs('y_attack')}, dominant_family, coalesce(CASE WHEN dominant_family = 'BENIGN' THEN near ELSE held END, 'train') AS split FROM n"""
 
 
+CHRONO_CFG = SplitConfig(mode="episode_chrono")
+EPISODE_CHRONO = f"""WITH {base_sql()}, {episode_sql()}, rn AS (SELECT *, row_number() OVER {O} AS rn FROM e3),
+sp AS (SELECT day, episode, greatest(min(rn) - 6, 1) AS lo, max(rn) + 6 AS hi,
+   greatest(max(window_index) - min(window_index) + 1 + min(rn) - greatest(min(rn) - 6, 1), 1) AS width FROM rn WHERE episode IS NOT NULL GROUP BY 1, 2),
+cv AS (SELECT sp.*, a.window_index AS w0 FROM sp JOIN rn a ON a.day = sp.day AND a.rn = sp.lo),
+lb AS (SELECT rn.day, rn.window_index, rn.y_attack, rn.dominant_family, (rn.window_index - cv.w0) / cv.width::DOUBLE AS part
+  FROM rn LEFT JOIN cv ON cv.day = rn.day AND rn.rn BETWEEN cv.lo AND cv.hi
+  QUALIFY row_number() OVER (PARTITION BY rn.day, rn.window_index ORDER BY cv.episode DESC NULLS LAST) = 1)
+SELECT day, window_index, {bigs('y_attack')}, dominant_family, CASE
+ WHEN y_attack = 0 AND {unit_sql(str(CHRONO_CFG.seed), 'day', 'CAST(window_index AS BIGINT)')} < 0.25::DOUBLE THEN
+  CASE WHEN {unit_sql(str(CHRONO_CFG.seed + 1), 'day', 'CAST(window_index AS BIGINT)')} < 0.2::DOUBLE / (1 - 0.6::DOUBLE + 0.000000001::DOUBLE) THEN 'val' ELSE 'test' END
+ WHEN part IS NULL OR part <= 0.6::DOUBLE THEN 'train' WHEN part <= {0.6 + 0.2}::DOUBLE THEN 'val' ELSE 'test' END AS split FROM lb"""
+
+
 def weekday_split(spark, sf):
     rows = durable(ops.time_features(base(spark, sf), HOURLY)).withColumn("date", F.col("day")).withColumn(
         "day", F.date_format(F.col("day").cast("date"), "EEEE"))
@@ -136,8 +150,8 @@ PAST, AHEAD = f"{O[:-1]} ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)", f"{O[
 SPAN = f"{O[:-1]} ROWS BETWEEN {L - 1} PRECEDING AND {K} FOLLOWING)"
 
 
-def sequences_sql(name: str = "seq") -> str:
-    return f"""{stratified_sql(STRATIFIED)},
+def sequences_sql(name: str = "seq", splitted: str = stratified_sql(STRATIFIED)) -> str:
+    return f"""{splitted},
 sq0 AS (SELECT day, window_index, y_attack AS y_now, 0 AS is_synthetic, progression_state,
   list(y_attack) OVER {AHEAD} AS y_atk, list({STATE_INDEX_SQL}) OVER {AHEAD} AS y_prog, list(CAST(flow_count AS BIGINT)) OVER {PAST} AS flow_counts,
   ln(1 + greatest(time_since_prev_window, 0)) AS dt_last, lead(byte_rate) OVER {O} AS next_byte_rate, sum(dstip_entropy) OVER {PAST} AS dstip_entropy_sum,
@@ -396,7 +410,16 @@ def guesses(spark, sf):
     return tidy(forecast.choose_family(got), "day", "window_index", "guess", "guess_confidence", "family", "family_inferred", "possible_family")
 
 
-def guess_sql() -> str:
+SCALE_CTES = f"""fx AS (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}
+  FROM seq s, (SELECT unnest(generate_series({-(L - 1)}, 0)) AS o) u, splitted w
+  WHERE s.split = 'train' AND w.day = s.day AND w.window_index = s.window_index + u.o),
+un AS (UNPIVOT fx ON {', '.join(FEATURES)} INTO NAME feature VALUE v),
+q AS (SELECT feature, quantile_cont(v, 0.5) AS md, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iq FROM un GROUP BY 1),
+mm AS (SELECT map_from_entries(list((feature, [md, CASE WHEN iq = 0 THEN 1 ELSE iq END]))) AS m FROM q)"""
+
+
+def guess_ctes() -> str:
+    """CTEs up to ``ch``: the guess of each window and whether it is sure."""
     z = lambda n: f"((CAST(w.{n} AS DOUBLE) - m['{n}'][1]) / m['{n}'][2])"
     churn = "(" + " + ".join(z(n) for n in forecast.CHURN) + ")"
     groups = {"churn": churn, "focus": f"(-{z('dstip_entropy')} - {z('unique_dst')})",
@@ -405,22 +428,45 @@ def guess_sql() -> str:
     for i, (fam, ws) in enumerate(forecast.FAMILY_WEIGHTS.items()):
         cols.append("(" + " + ".join(f"{w}::DOUBLE * {groups.get(n) or z(n)}" for n, w in ws.items()) + f") AS s{i}")
     fams = list(forecast.FAMILY_WEIGHTS)
-    return f"""WITH {sequences_sql()}, fx AS (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}
-  FROM seq s, (SELECT unnest(generate_series({-(L - 1)}, 0)) AS o) u, splitted w
-  WHERE s.split = 'train' AND w.day = s.day AND w.window_index = s.window_index + u.o),
-un AS (UNPIVOT fx ON {', '.join(FEATURES)} INTO NAME feature VALUE v),
-q AS (SELECT feature, quantile_cont(v, 0.5) AS md, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iq FROM un GROUP BY 1),
-mm AS (SELECT map_from_entries(list((feature, [md, CASE WHEN iq = 0 THEN 1 ELSE iq END]))) AS m FROM q),
+    return f"""{sequences_sql()}, {SCALE_CTES},
 sc AS (SELECT w.day, w.window_index, {', '.join(cols)} FROM splitted w, mm),
 so AS (SELECT *, list_reverse_sort([{', '.join(f's{i}' for i in range(5))}]) AS o FROM sc),
 cl AS (SELECT *, o[1] AS top, o[1] - o[2] AS margin, CASE {' '.join(f"WHEN s{i} = o[1] THEN '{f}'" for i, f in enumerate(fams))} END AS f FROM so),
 gu AS (SELECT *, CASE WHEN top >= 7 AND margin >= 2.5 THEN f ELSE 'BENIGN' END AS guess,
   CASE WHEN margin >= 5 AND top >= 12 THEN 'Medium' ELSE 'Low' END AS guess_confidence FROM cl),
-ch AS (SELECT *, guess <> 'BENIGN' AND guess_confidence = 'Medium' AS family_inferred FROM gu)
+ch AS (SELECT *, guess <> 'BENIGN' AND guess_confidence = 'Medium' AS family_inferred FROM gu)"""
+
+
+def guess_sql() -> str:
+    return f"""WITH {guess_ctes()}
 SELECT day, window_index, guess, guess_confidence, CASE WHEN family_inferred THEN guess ELSE 'BENIGN' END AS family, family_inferred,
  CASE WHEN guess <> 'BENIGN' AND NOT family_inferred THEN guess END AS possible_family FROM ch"""
 
 
+def anchor_labels(spark, sf):
+    windows = split_windows(spark, sf, STRATIFIED)
+    busy = ops.assign_windows(view(spark, sf, "flows"), HOURLY)
+    busy = ops.dominant_family(busy, ["day", "window_index"])
+    return tidy(forecast.anchor_families(windows.select("day", "window_index", "split"), busy), "day", "window_index", "split", "family")
+
+
+ANCHOR_LABELS = f"""WITH {stratified_sql(STRATIFIED)} SELECT s.day, s.window_index, split, coalesce(dom.dominant_family, '?') AS family
+FROM splitted s LEFT JOIN dom ON dom.day = s.day AND dom.window_index = s.window_index"""
+
+
+def split_peaks(spark, sf):
+    marks = split_windows(spark, sf, STRATIFIED).select("day", "window_index", "split")
+    rows = durable(nested(spark, sf).join(marks, ["day", "window_index"]))
+    return tidy(forecast.simulate_split(rows, "test"), "day", "window_index", "alert", "peak_prob", "peak_k")
+
+
+SPLIT_PEAKS = f"""WITH {stratified_sql(STRATIFIED)}, {TRANS}, {SPREAD}, {ANCHORS},
+ts AS (SELECT al.* FROM al JOIN splitted w USING (day, window_index) WHERE w.split = 'test'),
+ch AS (SELECT * FROM ts WHERE alert OR (SELECT count(*) FILTER (alert) FROM ts) = 0),
+pk AS (SELECT day, window_index, attack_prob, k FROM steps QUALIFY row_number() OVER (PARTITION BY day, window_index ORDER BY attack_prob DESC, k) = 1)
+SELECT day, window_index, alert, {r6('attack_prob', 'peak_prob')}, {big('k', 'peak_k')} FROM ch JOIN pk USING (day, window_index)"""
+
+
 SIX_HOURS = replace(HOURLY, window_seconds=21600.0, stride_seconds=21600.0)
 
 
@@ -496,7 +542,7 @@ ENTRIES = {
     "split_block": (split_query(SplitConfig(mode="block")), simple_split_sql(BLOCK)),
     "split_day_schedule": (weekday_split, WEEKDAY),
     "split_family_holdout": (split_query(FAMILY), FAMILY_SQL),
-    "split_episode_chrono": (split_query(SplitConfig(mode="episode_chrono")), None),
+    "split_episode_chrono": (split_query(CHRONO_CFG), EPISODE_CHRONO),
     "split_episodes": (episodes, EPISODES),
     "split_summary": (split_report(reports.split_summary), SPLIT_SUMMARY),
     "split_states": (split_report(reports.split_states), SPLIT_STATES),
@@ -517,6 +563,8 @@ ENTRIES = {
     "forecast_draws": (draws, draws_sql()),
     "forecast_showcase": (hot, HOT),
     "forecast_peaks": (peaks, PEAKS),
+    "forecast_anchor_families": (anchor_labels, ANCHOR_LABELS),
+    "forecast_split_peaks": (split_peaks, SPLIT_PEAKS),
     "forecast_horizon_report": (flat, FLAT),
     "forecast_summary": (summary, SUMMARY),
     "dashboard_kpis": (kpi, KPIS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.config import FEATURES
-from tidewatch.operators import phases, progression
+from tidewatch.operators import phases, progression, reports
 from tidewatch.operators import windows as ops
 from tidewatch.plans.catalog.common import (
     DOMINANT_SQL, HOSTS_SQL, HOURLY, SIZE_SQL, STATE_INDEX_SQL, TEN_MINUTES, assigned_sql, big, bigs, doubles,
@@ -13,6 +13,7 @@ from tidewatch.plans.catalog.common import (
 )
 from tidewatch.plans.corpus import state_windows
 from tidewatch.sources.adapters import duck, view
+from tidewatch.streaming import windows as live
 
 BY = ["day", "window_index"]
 FLAGS = [f"{f}_rate" for f in ("syn", "ack", "rst", "fin", "psh", "urg")]
@@ -170,6 +171,37 @@ PHASED = f"""WITH {windows_sql()}, {filled_sql()}, {progression_sql()}, {phase_s
 SELECT day, window_index, progression_state, {', '.join(PHASE_COLUMNS)} FROM phased"""
 
 
+def confidence(spark, sf):
+    return tidy(reports.phase_confidence(phases.window_phases(base(spark, sf), HOURLY)))
+
+
+CONFIDENCE = f"SELECT attck_phase, attck_confidence, {big('count(*)', 'windows')} FROM ({PHASED}) GROUP BY 1, 2"
+
+
+def sessions(spark, sf):
+    return view(spark, sf, "flows").withColumn("session_id", F.col("protocol").cast("string"))
+
+
+def closed(spark, sf):
+    """The live window aggregation on the whole table, sizes counted exactly; one session per protocol."""
+    rows = live.closed_windows(sessions(spark, sf), HOURLY, 0.0, size_step=None)
+    return tidy(rows.select("session_id", "window_index", "window_start", *[F.round(f, 9).alias(f) for f in live.STREAM_FEATURES]))
+
+
+CLOSED = f"""WITH flows AS ({duck('flows')}), aw AS (SELECT * REPLACE (CAST(protocol AS VARCHAR) AS day),
+  CAST(floor(flow_start_epoch / 3600.0::DOUBLE) AS BIGINT) AS window_index, floor(flow_start_epoch / 3600.0::DOUBLE) * 3600.0::DOUBLE AS window_start FROM flows),
+{windows_sql()[len(assigned_sql()) + 1:]}
+SELECT day AS session_id, window_index, {doubles('window_start')}, {', '.join(r6(f"round({f}, 9)", f) for f in live.STREAM_FEATURES)} FROM win"""
+
+
+def counters(spark, sf):
+    return tidy(live.session_stats(sessions(spark, sf)))
+
+
+COUNTERS = f"""WITH flows AS ({duck('flows')}) SELECT CAST(protocol AS VARCHAR) AS session_id, {big('count(*)', 'flows_in')},
+ {r6('max(flow_start_epoch)', 'last_epoch')} FROM flows GROUP BY 1"""
+
+
 def full(spark, sf):
     return tidy(state_windows(view(spark, sf, "flows"), HOURLY), *BY, "window_start", "progression_state", "y_attack",
                 "dominant_family", "attck_phase", "attck_confidence", *FEATURES)
@@ -218,6 +250,9 @@ ENTRIES = {
     "windows_idle_filled": (idle, IDLE),
     "windows_progression": (states, states_text(HOURLY)),
     "windows_progression_10min": (lambda s, d: states(s, d, TEN_MINUTES), states_text(TEN_MINUTES)),
+    "windows_phase_confidence": (confidence, CONFIDENCE),
+    "stream_windows_closed": (closed, CLOSED),
+    "stream_session_counters": (counters, COUNTERS),
     "windows_phases": (phased, PHASED),
     "state_windows": (full, FULL),
     "windows_epoch_buckets": (epoch_buckets, EPOCH_BUCKETS),

@@ -34,12 +34,13 @@ def _entropy(kind: str) -> Column:
 
 
 def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_epoch: float = 0.0,
-                   grace_seconds: float = GRACE_SECONDS) -> DataFrame:
+                   grace_seconds: float = GRACE_SECONDS, size_step: int | None = SIZE_STEP) -> DataFrame:
     """One row per (session, window) once the watermark has passed its end; works on a batch table too.
 
     Each flow is counted under five kinds of value; three levels of event-time
     aggregation turn value counts into distinct counts, fan-out and entropies
-    without holding a window's flows.
+    without holding a window's flows. ``size_step`` rounds the log sizes behind ``flowsize_entropy`` to its inverse, which
+    bounds the state of a live window; None counts them exactly, as the batch features do.
     """
     w = float(cfg.window_seconds)
     have = set(flows.columns)
@@ -51,7 +52,8 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
     rows = flows.withColumn("event_time", F.timestamp_micros((F.col("flow_start_epoch") * 1000000).cast("bigint")))
     if flows.isStreaming:
         rows = rows.withWatermark("event_time", f"{grace_seconds} seconds")
-    size = F.round(F.log1p(num("fwd_bytes") + num("bwd_bytes")) * SIZE_STEP).cast("string")
+    size = F.log1p(num("fwd_bytes") + num("bwd_bytes"))
+    size = (size if size_step is None else F.round(size * size_step) / size_step).cast("string")
     blank = F.lit("")
 
     def kind(name, v1, v2=blank):
@@ -70,7 +72,7 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
     def own(c):
         return F.when(only, F.col(c))
 
-    span = F.window("event_time", f"{int(w * 1000)} milliseconds", startTime=f"{int(offset * 1000)} milliseconds")
+    span = F.window("event_time", f"{round(w * 1e6)} microseconds", startTime=f"{round(offset * 1e6)} microseconds")
     carried = [F.sum(own(c)).alias(f"s_{c}") for c in dict.fromkeys(SUMS + SQUARES + MEANS)]
     carried += [F.sum(own(c) * own(c)).alias(f"q_{c}") for c in SQUARES]
     carried += [F.max(own(c)).alias(f"t_{c}") for c in TOPS]
@@ -94,7 +96,7 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
         F.sum(when("src", F.col("peers"))).alias("unique_pairs"), F.count(when("port", F.lit(1))).alias("unique_dst_ports"),
         F.max(when("src", F.col("peers"))).alias("fan_out"), F.max(when("dst", F.col("peers"))).alias("fan_in"),
         _entropy("port").alias("dstport_entropy"), _entropy("dst").alias("dstip_entropy"), _entropy("src").alias("srcip_entropy"),
-        F.collect_list(when("size", F.struct((F.col("v1").cast("double") / SIZE_STEP).alias("v"), F.col("n").cast("double").alias("n")))).alias("sizes"),
+        F.collect_list(when("size", F.struct(F.col("v1").cast("double").alias("v"), F.col("n").cast("double").alias("n")))).alias("sizes"),
         F.min_by(when("fam", F.col("v1")), when("fam", F.struct((-F.col("n")).alias("c"), F.col("v1").alias("f")))).alias("family"),
         *[again(c) for c in names])
     return _finish(three, w, start_epoch)
