@@ -24,6 +24,8 @@ from tidewatch.llm.common import discard, release, store
 ORDER = 2
 SEGMENT_BYTES = 4 << 20
 RANGES_PER_PARTITION = 2
+TOKENS_PER_RANGE = 1 << 22
+"""A range holds at most the distinct n-grams of about this many tokens, so a task's memory doesn't follow the corpus."""
 HELD_OUT, DEVELOPMENT, FOLDS = 2, 5, 7
 CONTEXT_EDGES = (1, 2, 3, 5, 9, 17, 33, 65, 257, 1025, 16385)
 """Contexts are grouped by frequency at these limits; an unseen context is a group of its own."""
@@ -277,8 +279,6 @@ def score(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", text:
     """
     cut = segments(docs, id_column, text)
     spark = docs.sparkSession
-    ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    totals = total_counts(cut, order, ranges)
     sizes = cut.select(F.explode(F.arrays_zip("parts", F.slice("firsts", F.lit(2), F.size("parts")).alias("last"),
                                               F.slice("firsts", F.lit(1), F.size("parts")).alias("first"))).alias("d"))
     n = F.col("d.last") - F.col("d.first")
@@ -287,6 +287,8 @@ def score(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", text:
         F.sum(F.when(train, n)).alias("tokens"), F.count(F.when(train, 1)).alias("docs"),
         F.sum(F.when(kept, n)).alias("kept_tokens"), F.count(F.when(kept, 1)).alias("kept_docs")).first()
     stats = {k: float(v or 0) for k, v in whole.asDict().items()}
+    ranges = max(RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(stats["tokens"] / TOKENS_PER_RANGE))
+    totals = total_counts(cut, order, ranges)
     stats["vocabulary"] = float(totals.where("n = 1").agg(F.sum("fresh")).first()[0] or 0)
     release(spark)
     counts = token_counts(cut, totals, order)
