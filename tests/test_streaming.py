@@ -122,3 +122,21 @@ def test_stream_flow_assembly(rocks, tmp_path):
     assert len(got[got.protocol == 17]) == 1
     pair = got[got.dst_ip == "10.9.9.9"]
     assert [r.fwd_pkts for r in pair.itertuples()] == [2]
+
+
+def test_stream_flow_assembly_takes_late_packets_in_time_order(rocks, tmp_path):
+    """The opening packet comes a batch after its answer, within the grace."""
+    spark = rocks
+    src = tmp_path / "pk"
+    src.mkdir()
+    a, b = "10.0.0.1", "10.0.0.2"
+    answer = [packet(2, T0 + 1.0, b, a, 80, 5000, flags="sa"), packet(4, T0 + 2.0, b, a, 80, 5000, flags="a")]
+    opening = [packet(1, T0 + 0.5, a, b, 5000, 80, flags="s"), packet(3, T0 + 1.5, a, b, 5000, 80, flags="a")]
+    end = [packet(9, T0 + 500, a, "10.8.8.8", 1, 2)]
+    for n, part in enumerate([answer, opening, end, [dict(end[0], pkt_id=10, ts=T0 + 600)]]):
+        put(src, n, part)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
+    got = spark.read.parquet(run(sa.stream_flows(stream), tmp_path, "flows")).toPandas()
+    one = got[got.dst_ip != "10.8.8.8"]
+    assert [(r.src_ip, r.src_port, r.fwd_pkts, r.bwd_pkts, r.fwd_iat_total, r.bwd_iat_total) for r in one.itertuples()] == [(a, 5000, 2, 2, 1e6, 1e6)]
+    assert abs(one.iloc[0].flow_duration - 1.5e6) < 1 and abs(one.iloc[0].flow_start_epoch - T0 - 0.5) < 1e-6

@@ -21,8 +21,17 @@ FLOW_SCHEMA = ("flow_start_epoch double, src_ip string, dst_ip string, src_port
 COLUMNS = [c.split()[0] for c in FLOW_SCHEMA.split(", ")]
 
 
+PACKET_STATE = ("ts double, pkt_id bigint, src_ip string, dst_ip string, sport int, dport int, proto int, frame_len double, "
+                + ", ".join(f"{f} int" for f in FLAGS))
+PACKET_COLUMNS = [c.split()[0] for c in PACKET_STATE.split(", ")]
+
+
 class FlowProcessor(StatefulProcessor):
-    """One open flow per 5-tuple. A flow ends when its idle, active or closing time is over in event time."""
+    """One open flow per 5-tuple. A flow ends when its idle, active or closing time is over in event time.
+
+    Packets wait until the watermark has passed them and are then taken in time order, so a packet that comes late
+    but within the grace changes nothing. What waits is at most the packets of the grace period.
+    """
 
     def __init__(self, idle: float = IDLE_SECONDS, active: float = ACTIVE_SECONDS, harvest: float = HARVEST_SECONDS):
         self.idle, self.active, self.harvest = idle, active, harvest
@@ -30,44 +39,62 @@ class FlowProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", "state string")
+        self.waiting = handle.getListState("waiting", PACKET_STATE)
 
     def _ends(self, f: dict) -> float:
         end = min(f["t1"] + self.idle, f["t0"] + self.active)
         return min(end, f["closed"] + self.harvest) if f["closed"] is not None else end
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = self.flow.get() if self.flow.exists() else None
-        f = json.loads(got[0]) if got else None
-        done = []
-        for p in pd.concat(list(rows)).sort_values(["ts", "pkt_id"]).to_dict("records"):
+        new = pd.concat(list(rows))[PACKET_COLUMNS]
+        yield self._advance([tuple(r) for r in new.astype(object).itertuples(index=False)], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance([], timerValues)
+
+    def _advance(self, new: list[tuple], timerValues) -> pd.DataFrame:
+        """Fold all packets up to the watermark; the rest waits. A timer is set for the next packet or the flow's end."""
+        passed = timerValues.getCurrentWatermarkInMs() / 1000.0
+        packets = sorted([*map(tuple, self.waiting.get() if self.waiting.exists() else []), *new], key=lambda r: (r[0], r[1]))
+        f = json.loads(self.flow.get()[0]) if self.flow.exists() else None
+        done, ready = [], [r for r in packets if r[0] <= passed]
+        for r in ready:
+            p = dict(zip(PACKET_COLUMNS, r))
             if f is not None and p["ts"] > self._ends(f):
                 done.append(self._row(f))
                 f = None
-            if f is None:
-                f = {"src": p["src_ip"], "dst": p["dst_ip"], "sp": int(p["sport"]), "dp": int(p["dport"]), "proto": int(p["proto"]),
-                     "t0": p["ts"], "t1": p["ts"], "n": [0, 0], "octets": [0.0, 0.0], "gaps": [0.0, 0.0], "seen": [None, None],
-                     "flags": [0] * len(FLAGS), "closed": None}
-            lane = 0 if (p["src_ip"], int(p["sport"])) == (f["src"], f["sp"]) else 1
-            f["t1"] = p["ts"]
-            f["n"][lane] += 1
-            f["octets"][lane] += float(p["frame_len"])
-            if f["seen"][lane] is not None:
-                f["gaps"][lane] += p["ts"] - f["seen"][lane]
-            f["seen"][lane] = p["ts"]
-            if f["proto"] == 6:
-                f["flags"] = [int(a or bool(p[n])) for a, n in zip(f["flags"], FLAGS)]
-                if f["closed"] is None and (p["fin"] or p["rst"]):
-                    f["closed"] = p["ts"]
+            f = self._take(f, p)
+        if f is not None and self._ends(f) < passed:
+            done.append(self._row(f))
+            f = None
+        left = packets[len(ready):]
+        self.flow.clear() if f is None else self.flow.update((json.dumps(f),))
+        self.waiting.put(left) if left else self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.flow.update((json.dumps(f),))
-        self.handle.registerTimer(int(self._ends(f) * 1000) + 1)
-        yield pd.DataFrame(done, columns=COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        got = self.flow.get() if self.flow.exists() else None
-        self.flow.clear()
-        yield pd.DataFrame([self._row(json.loads(got[0]))] if got else [], columns=COLUMNS)
+        times = [r[0] for r in left[:1]] + ([self._ends(f)] if f is not None else [])
+        if times:
+            self.handle.registerTimer(int(min(times) * 1000) + 1)
+        return pd.DataFrame(done, columns=COLUMNS)
+
+    def _take(self, f: dict | None, p: dict) -> dict:
+        """The open flow, or a new one, with one more packet."""
+        if f is None:
+            f = {"src": p["src_ip"], "dst": p["dst_ip"], "sp": int(p["sport"]), "dp": int(p["dport"]), "proto": int(p["proto"]),
+                 "t0": p["ts"], "t1": p["ts"], "n": [0, 0], "octets": [0.0, 0.0], "gaps": [0.0, 0.0], "seen": [None, None],
+                 "flags": [0] * len(FLAGS), "closed": None}
+        lane = 0 if (p["src_ip"], int(p["sport"])) == (f["src"], f["sp"]) else 1
+        f["t1"] = p["ts"]
+        f["n"][lane] += 1
+        f["octets"][lane] += float(p["frame_len"])
+        if f["seen"][lane] is not None:
+            f["gaps"][lane] += p["ts"] - f["seen"][lane]
+        f["seen"][lane] = p["ts"]
+        if f["proto"] == 6:
+            f["flags"] = [int(a or bool(p[n])) for a, n in zip(f["flags"], FLAGS)]
+            if f["closed"] is None and (p["fin"] or p["rst"]):
+                f["closed"] = p["ts"]
+        return f
 
     def _row(self, f: dict) -> tuple:
         n, span = sum(f["n"]), max(0.0, (f["t1"] - f["t0"]) * 1e6)
