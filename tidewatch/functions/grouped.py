@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import stored
+
 
 def salted_join(rows: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
     """Equi join where one key may hold a large part of ``rows``; a key is cut into as many pieces as a shuffle has partitions."""
@@ -74,24 +76,19 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, probs: list[f
                     weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles, one row per (group, p).
 
-    Exact at any size: distinct values are counted, the wanted ranks are located
-    first in a coarse cell, then in one of 4,096 slices of that cell, and only the
-    values of that slice are put in order. ``weight`` repeats a value that many times.
+    Exact at any size: rows are counted per coarse cell before any shuffle, the wanted
+    ranks are located in their cells, only the values of those cells are counted, and
+    one of 4,096 slices of a cell is put in order. ``weight`` repeats a value that many times.
     """
     n = F.col(weight).cast("long") if weight else F.lit(1)
-    counts = (
-        rows.select(*group, F.col(value).cast("double").alias("_v"), n.alias("_w"))
-        .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
-        .groupBy(*group, "_v").agg(F.sum("_w").alias("_n"))
-        .withColumn("_c", _cell(F.col("_v")))
-    )
     one = group if group else ["_one"]
-    if not group:
-        counts = counts.withColumn("_one", F.lit(1))
+    values = (
+        rows.withColumn("_one", F.lit(1)).select(*one, F.col(value).cast("double").alias("_v"), n.alias("_w"))
+        .where(F.col("_v").isNotNull() & (F.col("_w") > 0)).withColumn("_c", _cell(F.col("_v"))))
     everything = W.partitionBy(*one)
     cells = (
-        counts.groupBy(*one, "_c")
-        .agg(F.sum("_n").alias("_cn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        values.groupBy(*one, "_c")
+        .agg(F.sum("_w").alias("_cn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_before", F.sum("_cn").over(everything.orderBy("_c")) - F.col("_cn"))
         .withColumn("_total", F.sum("_cn").over(everything))
     )
@@ -107,6 +104,10 @@ def exact_quantiles(rows: DataFrame, group: list[str], value: str, probs: list[f
     width = F.col("_hi") - F.col("_lo")
     piece = F.when(width > 0, F.least(
         F.floor((F.col("_v") - F.col("_lo")) / F.when(width > 0, width) * 4096), F.lit(4095))).otherwise(F.lit(0)).cast("int")
+    picks = stored(picks, "quantile-cells")          # at most two rows per group and p
+    counts = (
+        values.join(picks.select(*one, "_c").distinct(), one + ["_c"], "left_semi")
+        .groupBy(*one, "_c", "_v").agg(F.sum("_w").alias("_n")))
     inside = counts.join(picks, one + ["_c"]).withColumn("_s", piece)
     key = one + ["p", "_rank"]
     slices = (
