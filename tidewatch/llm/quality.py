@@ -138,7 +138,9 @@ def judge(docs: DataFrame, rules: LineRules = LineRules(), id_column: str = "doc
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The kept rows of ``docs`` with bad lines taken out; all columns stay, ``n_chars`` follows the text."""
     (mark,) = fresh(docs, "_verdict")
-    rows = docs.withColumn(mark, verdict(F.col(text), rules)).where(F.col(mark)["kept"])
+    # a filter on the verdict would be pushed below it and work it out a second time; an empty array drops the row as well
+    kept = F.filter(F.array(verdict(F.col(text), rules)), lambda v: v["kept"])
+    rows = docs.select("*", F.explode(kept).alias(mark))
     changed = {text: F.col(mark)["text"]}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.col(mark)["text"]).cast(docs.schema["n_chars"].dataType)
