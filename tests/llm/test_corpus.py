@@ -15,7 +15,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tidewatch.llm import decontam, lines, lm, mixing, quality, simhash
+from tidewatch.llm import decontam, lines, lm, mixing, quality, similar, simhash
 
 EXTRA = "doc_id long, text string, source string, n_chars long, id int, key string, fp int, site string, rate double, _row int"
 
@@ -114,6 +114,43 @@ def test_components_of_a_long_chain(spark):
     assert {(r["a"], r["root"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(100, 90)}
 
 
+@pytest.mark.parametrize("dense", [1, 4, similar.DENSE])
+def test_near_copies_against_all_pairs(spark, dense):
+    draw = random.Random(8)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{draw.randrange(300)}" for _ in range(draw.choice([30, 90, 200]))]
+        for _ in range(14 if group else 60):
+            words = list(base)
+            for _ in range(draw.randrange(1 + len(words) // 20)):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(10 ** 6)}"
+            rows.append((10_000 - len(rows), " ".join(words), "s"))
+    shared = " ".join(f"common{i}" for i in range(40))
+    rows += [(20_000 + i, shared + " " + " ".join(f"own{i}x{k}" for k in range(6 + i)), "s") for i in range(30)]
+    rows += [(5, None, None), (4, "", "s"), (4, "", "s"), (None, "one two", "s"), (None, "one two", "s"), (77, "Ab", "s"), (78, "aB", "s"), (79, "a b c d e f", "s")]
+    sets = []
+    for _, text, _ in rows:
+        w = words_of(text)
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a)
+             if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = naive_components(pairs, list(range(len(rows))))
+    groups = {}
+    for at, r in root.items():
+        groups.setdefault(r, []).append(rows[at][0])
+    want = Counter(min((i for i in g if i is not None), default=None) for g in groups.values())
+    got = similar.drop_similar(table(spark, rows), dense=dense)
+    assert Counter(r["doc_id"] for r in got.collect()) == want and got.columns == EXTRA.replace(",", "").split()[::2]
+    prints = [naive_print(t) for _, t, _ in rows]
+    far = sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs)
+    assert far > len(pairs) / 4                              # what two bits of three-word shingles would leave
+    assert corpus_pipeline.near_dedup(spark, table(spark, rows), "").count() == len(groups)
+
+
+def test_near_copies_without_rows(spark):
+    assert similar.drop_similar(table(spark, [])).count() == 0
+
+
 def test_line_dedup_against_a_loop(spark):
     rows = [(i, f"own {i}\nshared all\n\ntwo only {i % 2}", f"s{i % 12}") for i in range(24)] + [(30, "shared all", None), (30, "shared all", None), (31, None, "s1"), (None, "shared all\nx", "s1")]
     out, removed = lines.strip_boilerplate(table(spark, rows))
