@@ -56,6 +56,16 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>if a < b then the rest", "if a < b then the rest"), ("<article><p>a < 3</p><p>1 <2 <p", "a < 3\n\n1 <2"),
+    ("<head><title>x</title><meta charset=utf-8><body><article><p>all of it</p></article>", "all of it"),
+    ("<head><title>x</title><style>p{}</style><article><p>all of it</p></article>", "all of it"),
+    ("<article><p>one <svg class=\"icon\"/> two</p><math/><p>three <svg><text>no</text></svg> four</p></article>", "one two\n\nthree four"),
+])
+def test_pages_are_read_to_the_end(page, want):
+    assert html.main_text(page) == want
+
+
 def test_blocks_inherit_from_neighbours():
     good, bad = ("x", 0.0, "article"), ("x", 0.0, "out")
     short = ("short words", 0.0, "")

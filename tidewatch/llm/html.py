@@ -36,8 +36,10 @@ BLOCK_TAGS = frozenset((
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd".split())
 
+# a head is a tag like others: its title, scripts and styles are taken here, so a left-out </head> swallows no text
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<(script|style|noscript|template|svg|math|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -117,7 +119,7 @@ def blocks_of(page: str) -> list[tuple[str, float, str]]:
                 if place:
                     flush()
                 stack.append((name, place)), places.append(place)
-    write(page[at:] if "<" not in page[at:] else page[at:page.index("<", at)])
+    write(page[at:])
     flush()
     return out
 
