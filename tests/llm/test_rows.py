@@ -66,6 +66,25 @@ def test_pages_are_read_to_the_end(page, want):
     assert html.main_text(page) == want
 
 
+PROSE = "The dog of the house was in the yard and it is to be with us for a day. " * 5
+SAID = PROSE.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div class="content has-sidebar"><article><p>{PROSE}</p></article></div>', SAID),
+    (f'<div class="page-sidebar"><article><p>{PROSE}</p></article></div>', SAID),
+    (f"<body><form action=x><div><p>{PROSE}</p></div></form></body>", SAID),
+    (f'<h1 class="entry-title">T</h1><div><p>{PROSE}</p></div>', f"T\n\n{SAID}"),
+    (f"<article><p>Short one.</p></article><div><p>{PROSE}</p></div>", f"Short one.\n\n{SAID}"),
+    (f"<article><p>{PROSE}</p></article><div class=comments><article><p>{PROSE * 3}</p></article></div>", SAID),
+    (f"<div class=ad>{PROSE}</div><article><p>Short one.</p></article>", "Short one."),
+    (f"<main><h1>T</h1><div class=menu-wrapper><p>{PROSE}</p></div></main>", f"T\n\n{SAID}"),
+    (f"<div><p>{PROSE * 2}</p></div><div class=sidebar><p>{PROSE}</p></div><nav><p>{PROSE * 9}</p></nav>", (PROSE * 2).strip()),
+])
+def test_names_are_hints(page, want):
+    assert html.main_text(page) == want
+
+
 def test_blocks_inherit_from_neighbours():
     good, bad = ("x", 0.0, "article"), ("x", 0.0, "out")
     short = ("short words", 0.0, "")

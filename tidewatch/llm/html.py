@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one classifies each block by stop-word density, length and link density; the page's own structure decides first where
-it speaks (menus, adverts, forms and comments out; the article in). Pass two gives blocks that stay ambiguous the label of
-their nearest decided neighbours.
+it speaks (menus, adverts, forms and comments out; the article in). A name or a form only hints: it doesn't put out what
+holds the page's article or most of its prose, and a name makes an article only of what holds most of the prose. Pass two
+gives blocks that stay ambiguous the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SKIPPED_NAMES = frozenset((
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notification alert popup modal overlay subscribe newsletter signup login "
     "share sharing social related recommended comment comments reply replies respond disqus footer header masthead topbar toolbar "
     "widget pagination pager tags copyright legal disclaimer skip").split())
+HINT_TAGS = frozenset("form fieldset".split())
 ARTICLE_NAMES = frozenset("article post content entry story main body".split())
 BLOCK_TAGS = frozenset((
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main blockquote pre header hr "
@@ -41,6 +43,8 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
     r"|<(script|style|noscript|template|svg|math|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
+_WRAPPER = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -55,9 +59,11 @@ class BlockRules:
     links: float = 0.4
 
 
-def blocks_of(page: str) -> list[tuple[str, float, str]]:
+def blocks_of(page: str, rules: BlockRules = BlockRules()) -> list[tuple[str, float, str]]:
     """``(text, share of link characters, place)`` in page order; place is ``out``, ``article`` or empty."""
-    out: list[tuple[str, float, str]] = []
+    out: list[tuple[str, float, tuple[int, ...]]] = []
+    kinds: list[str] = []                        # place of each tracked element, by number
+    inside: list[int] = []
     stack: list[tuple[str, str]] = []            # open elements that change the place
     text: list[str] = []
     linked, depth_of_link, breaks = 0, 0, 0
@@ -67,8 +73,7 @@ def blocks_of(page: str) -> list[tuple[str, float, str]]:
         nonlocal linked, breaks
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole:
-            place = "out" if "out" in places else "article" if "article" in places else ""
-            out.append((whole, min(1.0, linked / len(whole)), place))
+            out.append((whole, min(1.0, linked / len(whole)), tuple(inside)))
         text.clear()
         linked = breaks = 0
 
@@ -101,41 +106,91 @@ def blocks_of(page: str) -> list[tuple[str, float, str]]:
         if name in BLOCK_TAGS:
             flush()
             while not found[2] and stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop(), places.pop()
+                stack.pop(), places.pop(), inside.pop()
         if found[2]:
             if any(s[0] == name for s in stack):
                 while stack:
                     was = stack.pop()[0]
-                    places.pop()
+                    places.pop(), inside.pop()
                     if was == name:
                         break
             continue
         if name in VOID_TAGS or found[4].endswith("/"):
             continue
-        place = _place(name, found[4], "article" in places)
+        place = _place(name, found[4], "article" in places or "article?" in places)
         # an element inside a placed one of the same name is tracked too, so that its end tag isn't taken for the outer one's
         if place or any(s[0] == name for s in stack):
             if name in BLOCK_TAGS or place:
                 if place:
                     flush()
                 stack.append((name, place)), places.append(place)
+                kinds.append(place), inside.append(len(kinds) - 1)
     write(page[at:])
     flush()
-    return out
+    _settle(out, kinds, rules)
+    found_places = []
+    for whole, links, elements in out:
+        of = {kinds[e] for e in elements}
+        found_places.append((whole, links, "out" if "out" in of else "article" if "article" in of else ""))
+    return found_places
+
+
+def _settle(blocks: list[tuple[str, float, tuple[int, ...]]], kinds: list[str], rules: BlockRules) -> None:
+    """Decide the hints in ``kinds`` (``out?`` and ``article?``) by the characters of prose in each element: blocks rich in
+    stop words and not short, or all text without many links on a page that has none of it."""
+    if not any(k.endswith("?") for k in kinds):
+        return
+    may_speak = [not any(kinds[e] == "out" for e in elements) and links <= rules.links for _, links, elements in blocks]
+    prose = [len(b[0]) if may and len(b[0]) >= rules.short and stop_share(b[0]) >= rules.low_stops else 0 for b, may in zip(blocks, may_speak)]
+    if not any(prose):
+        prose = [len(b[0]) if may else 0 for b, may in zip(blocks, may_speak)]
+    total = sum(prose)
+    free = said = 0                              # prose and all text in articles that no hint puts out
+    for n, may, (text, _, elements) in zip(prose, may_speak, blocks):
+        of = {kinds[e] for e in elements}
+        if may and "article" in of and "out?" not in of:
+            free, said = free + n, said + len(text)
+    held, holds, within = [0] * len(kinds), [False] * len(kinds), [False] * len(kinds)
+    for n, (_, _, elements) in zip(prose, blocks):
+        if n:
+            for e in elements:
+                held[e] += n
+                holds[e] |= any(kinds[x] == "article" for x in elements if x > e)   # inner elements have higher numbers
+                within[e] |= any(kinds[x] == "article" for x in elements if x < e)
+    for e, kind in enumerate(kinds):
+        if kind == "out?":
+            elsewhere = free or said >= rules.short if within[e] else said
+            kinds[e] = "" if not elsewhere and (holds[e] or 2 * held[e] > total) else "out"
+        elif kind == "article?":
+            kinds[e] = "article" if held[e] and 2 * held[e] >= total else ""
 
 
 def _place(name: str, attributes: str, in_article: bool) -> str:
+    """``out`` and ``article`` are sure, ``out?`` and ``article?`` are hints."""
+    if name in HINT_TAGS:
+        return "out" if _HIDDEN.search(attributes) else "out?"
     if name in SKIPPED_TAGS or name == "header" and not in_article:
         return "out"
     words: set[str] = set()
+    skipped: set[str] = set()
     if "=" in attributes:
         for one in _NAMES.finditer(attributes):
-            words |= set(re.split(r"[^a-z]+", (one[1] or one[2] or one[3] or "").lower()))
-        if re.search(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", attributes, re.I):
+            for whole in (one[1] or one[2] or one[3] or "").lower().split():
+                parts = set(re.split(r"[^a-z]+", whole))
+                words |= parts
+                skipped |= set() if _WRAPPER.search(whole) else parts
+        if _HIDDEN.search(attributes):
             return "out"
-    if name not in ("body", "html", "article", "main") and words & SKIPPED_NAMES:
-        return "out"
-    return "article" if name in ("article", "main") or words & ARTICLE_NAMES and name != "body" else ""
+    if name not in ("body", "html", "article", "main") and skipped & SKIPPED_NAMES:
+        return "out?"
+    if name in ("article", "main"):
+        return "article"
+    return "article?" if words & ARTICLE_NAMES and name != "body" else ""
+
+
+def stop_share(text: str) -> float:
+    words = [w.strip(".,;:!?\"'()[]*#$%&").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
 
 
 def first_label(text: str, links: float, place: str, rules: BlockRules) -> str:
@@ -148,8 +203,7 @@ def first_label(text: str, links: float, place: str, rules: BlockRules) -> str:
         return "bad"
     if len(text) < rules.short:
         return "bad" if links else "short"
-    words = [w.strip(".,;:!?\"'()[]*#$%&").lower() for w in text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
+    stops = stop_share(text)
     if stops >= rules.high_stops:
         return "good" if len(text) > rules.long else "near"
     return "near" if stops >= rules.low_stops else "bad"
@@ -185,9 +239,7 @@ def labels(blocks: list[tuple[str, float, str]], rules: BlockRules) -> list[bool
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
-    blocks = blocks_of(page or "")
-    if any(b[2] == "article" for b in blocks):   # the page says where its article is: the rest has no doubtful blocks
-        blocks = [b for b in blocks if b[2] != ""]
+    blocks = blocks_of(page or "", rules)
     return "\n\n".join(b[0] for b, keep in zip(blocks, labels(blocks, rules)) if keep)
 
 
