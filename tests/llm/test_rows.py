@@ -146,6 +146,32 @@ def test_licenses_against_sql_and_variants(spark):
     assert names[1] == names[2] == ("MIT", "") and names[3][0] is None and names[5] == (None, "MIT")
 
 
+def test_whole_licenses_at_any_line_wrap(spark):
+    import textwrap
+
+    import duckdb
+
+    rows = []
+    for name, text in licenses.KNOWN:
+        for width in (*range(30, 100, 7), 10_000):
+            body = "\n\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n\n"))
+            rows.append((len(rows), "Copyright (c) 2020 Someone\n\n" + body, name))
+    isc = next(t for n, t in licenses.KNOWN if n == "ISC")
+    rows.append((len(rows), isc.replace("the above copyright", "the above\ncopyright"), "ISC"))
+    heads = ["Copyright Someone", "Copyright: 2020 X", "(c) 2019 X", "\u00a9 X", "Copyright notices Inc", "Copyright <year> X", "All rights reserved.", "copyright  2001-2003", "Copyright Andover"]
+    rows += [(len(rows) + i, f"{h}\n{isc}", None if "notices" in h else "ISC") for i, h in enumerate(heads)]
+    rows.append((len(rows), "(c) you must keep\n" + isc, None))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [(i, got[i]["license"]) for i, _, _ in rows] == [(i, name) for i, _, name in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert sorted(con.execute(oracles.LICENSES).fetchall()) == sorted(map(tuple, got.values()))
+    table = spark.createDataFrame([("Own", "My own terms.")], "license string, text string")
+    assert licenses.scan(spark.createDataFrame([(1, "my OWN terms")], "doc_id long, text string"), licenses.known_digests(spark, table)).first()["license"] == "Own"
+
+
 def test_toxicity_on_held_out_rows(spark):
     import random
 

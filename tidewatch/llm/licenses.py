@@ -32,12 +32,29 @@ _ZLIB = (
     "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment "
     "in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and "
     "must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.")
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.\n\n")
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.\n\n")
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    'LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT '
+    'HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT '
+    'LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY '
+    'THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE '
+    'OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.')
 KNOWN = (
     ("MIT", _MIT_BODY), ("MIT", "MIT License\n\n" + _MIT_BODY), ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
             "that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_DISCLAIMER),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_DISCLAIMER),
+    ("BSD-2-Clause", _BSD_TWO + _BSD_DISCLAIMER), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_TWO + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER),
     ("ISC", "SPDX-License-Identifier: ISC"), ("0BSD", "SPDX-License-Identifier: 0BSD"), ("Zlib", _ZLIB), ("Zlib", "SPDX-License-Identifier: Zlib"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
@@ -47,7 +64,27 @@ SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("honour", "honor"),
     ("fulfilment", "fulfillment"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https ", "http "),
 )
-COPYRIGHT = r"^[^a-z0-9©]*(copyright|\(c\)|©|all rights reserved)"
+NO_HOLDERS = (
+    "notice notices holder holders owner owners law laws license licenses licence licences and or in on of to is are as for the this that "
+    "protection protected interest interests statement statements right rights").split()
+"""Words that go on with a sentence after ``copyright``; any other word there is a holder."""
+
+
+def other_word(words: list[str], start: bool = True) -> str:
+    """Pattern of the begin of a word that isn't one of ``words``, without look-ahead, which DuckDB's patterns don't have."""
+    heads = sorted({w[0] for w in words if w})
+    listed = "".join(heads)
+    free = "".join(c for c in "abcdefghijklmnopqrstuvwxyz0123456789" if c not in listed)
+    parts = [f"[{free}]" if not start else rf"[{free}<\[{{]|[^\x00-\x7F]"]
+    if not start and "" not in words:
+        parts.append(r"[^a-z0-9]|$")
+    return "(" + "|".join([*parts, *(h + other_word([w[1:] for w in words if w[:1] == h], False) for h in heads)]) + ")"
+
+
+_YEAR = r"[\s,:<\[{(-]*([0-9]{4}|year|yyyy)"
+COPYRIGHT = (
+    r"^[^a-z0-9©(]*(©|all rights reserved|[^a-z0-9©]*all rights reserved|\(c\)[\s,:]*copyright\b|\(c\)" + _YEAR
+    + r"|\(?copyright[\s,:-]*(\(c\)|©|by\b)|copyright" + _YEAR + r"|copyright:?\s+" + other_word(NO_HOLDERS) + ")")
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’„«»–—…·]+"
 
 
@@ -64,8 +101,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``digest`` and ``license`` of the known texts; one licence a digest, the least name if texts are equal."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    """``digest`` and ``license`` of the known texts; one licence a digest, the least name if texts are equal.
+
+    ``known`` is a list of ``(license, text)`` or a table with these columns.
+    """
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
     rows = rows.select("license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"))
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
