@@ -38,6 +38,16 @@ def test_quality_line_rules(spark):
     assert not got[2]["kept"] and not got[2]["base_failed"] and got[3]["kept"] and got[3]["n_bad_lines"] == 0
 
 
+def test_long_lines_may_mention_notices(spark):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(3000))
+    long = f"{words} the site sets cookies and asks to sign up {words[:4000]}."
+    docs = spark.createDataFrame([(1, long), (2, f"{words}.\nWe use cookies.\nSign up and log in."), (3, "We use cookies. " * 60)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {1: long, 2: f"{words}."}
+
+
 def test_quality_of_an_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -27,14 +27,16 @@ SEPARATORS = "|»›·"
 class LineRules:
     """Punctuation: a line ends in one of ``ENDS`` or is prose of ``prose_chars`` or more with a sentence end inside,
     and has at most ``max_marks`` of ``MARKS`` a word. Navigation: no ``min_separators`` or more of ``SEPARATORS`` with at
-    least one for ``words_per_separator`` words. Boilerplate: none of ``phrases``. ``max_lost``: share of the characters in
-    lines that a document may lose."""
+    least one for ``words_per_separator`` words. Boilerplate: none of ``phrases``; with ``words_per_phrase``, fewer than
+    one for so many words, so a long line may mention them. ``max_lost``: share of the characters in lines that a document
+    may lose."""
 
     prose_chars: int = 80
     max_marks: float = 0.5
     min_separators: int = 3
     words_per_separator: int = 6
     phrases: tuple[str, ...] = BOILERPLATE
+    words_per_phrase: int | None = None
     min_words: int = 50
     max_repeat_percent: int = 50
     max_lost: float = 0.3
@@ -86,7 +88,10 @@ def line_passes(line: Column, rules: LineRules) -> Column:
 
     last = F.substring(F.rtrim(line, F.lit(" \t\r\x0b\x0c")), -1, 1)
     ended = (F.instr(F.lit(ENDS), last) > 0) | ((F.length(line) >= rules.prose_chars) & F.contains(line, F.lit(". ")))
-    boiler = F.lower(line).rlike(r"\b(?:" + "|".join(rules.phrases) + ")")
+    phrase = r"\b(?:" + "|".join(rules.phrases) + ")"
+    boiler = F.lower(line).rlike(phrase)
+    if rules.words_per_phrase is not None:
+        boiler = boiler & (F.regexp_count(F.lower(line), F.lit(phrase)) * rules.words_per_phrase >= n_words)
     return ~has_word(line) | (ended & let(_only(line, MARKS), marks_pass) & ~boiler)
 
 
