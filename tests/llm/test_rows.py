@@ -201,3 +201,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((got[r[0]]["p_junk"] > 0.5) == bool(r[2]) for r in test) / len(test) > 0.95
     none = toxicity.classify(docs, labels.limit(0), ("junk", "toxic")).collect()
     assert len(none) == 602 and not any(r["toxic"] for r in none)
+
+
+def test_toxicity_fits_on_one_row_per_id(spark):
+    rows = [(i, f"word{i} " + ("vile" if i % 3 == 0 else "fine")) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame(rows + [rows[0]] * 300, "doc_id long, text string")
+    got = [toxicity.train_chain(d, labels, ("toxic",))[0] for d in (once, many)]
+    assert abs(got[0] - got[1]).max() < 1e-5

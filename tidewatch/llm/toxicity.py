@@ -93,7 +93,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     ys = [f"y{i}" for i in range(len(categories))]
     fold = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(folds)).cast("int")
-    table = store(_features(rows.join(chosen, "id").withColumn("fold", fold), ["fold", *ys]), "toxicity-sample")
+    one = rows.join(chosen, "id").groupBy("id", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))   # a row per id
+    table = store(_features(one.select("id", "t.text", *ys).withColumn("fold", fold), ["fold", *ys]), "toxicity-sample")
     spread = table.withColumn("left_out", F.explode(F.sequence(F.lit(0), F.lit(folds)))).where("left_out <> fold")  # `folds`: the model of all
 
     models: list[list[np.ndarray]] = []          # per category: one per fold left out, then the one of all
