@@ -133,3 +133,29 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
   AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
 """
+
+TRIE = rf"""
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || list_transform(range(8), lambda k: k),
+        lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+ids AS (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 20 AS b, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(s) + 1),
+        lambda j: ascii(s[j])::BIGINT), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)]))) % 4 AS h FROM ids, tab),
+t AS (SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS rn
+      FROM (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS digest, len({WORDS.format("text")}) AS words
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations))),
+r AS (SELECT c, digest, words, row_number() OVER (PARTITION BY c ORDER BY src, rn) AS depth FROM (
+        SELECT c, digest, words, 0 AS src, rn FROM convs JOIN t ON t.conv_id = b AND rn <= h
+        UNION ALL SELECT c, digest, words, 1, rn FROM convs JOIN t ON t.conv_id = c AND rn > h)),
+p AS (SELECT c, depth, words, string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth) AS name,
+        depth = max(depth) OVER (PARTITION BY c) AS last FROM r
+      UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM r) FROM convs),
+n AS (SELECT depth, name, min(c) AS c, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c)
+        FILTER (last), '')) AS ends_sha256 FROM p GROUP BY depth, name),
+k AS (SELECT p.depth, p.name, count(*) AS n_children FROM n JOIN p ON p.c = n.c AND p.depth = n.depth - 1 GROUP BY ALL),
+s AS (SELECT p.depth, p.name, sum((k.n_children IS NULL)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+      FROM n LEFT JOIN k USING (depth, name) JOIN p ON p.c = n.c AND p.depth <= n.depth GROUP BY ALL),
+up AS (SELECT n.c, n.depth, m.c AS parent_conv_id FROM n JOIN p ON p.c = n.c AND p.depth = n.depth - 1 JOIN n m ON m.depth = p.depth AND m.name = p.name)
+SELECT n.c AS conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM n LEFT JOIN k USING (depth, name) JOIN s USING (depth, name) LEFT JOIN up ON up.c = n.c AND up.depth = n.depth
+"""

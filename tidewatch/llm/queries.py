@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, html, licenses, lines, lm, mixing, negatives, oracles, quality, simhash, toxicity, urls
+from tidewatch.llm import decontam, html, licenses, lines, lm, mixing, negatives, oracles, quality, simhash, toxicity, trie, urls
 from tidewatch.llm.common import read
 
 
@@ -56,6 +56,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read(spark, sf_dir, "conversations")).drop("enter", "exit")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -64,10 +68,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_toxicity, op2_mixing, op3_simhash, op4_quality, op5_html, op6_line_dedup, op7_url_filter, op8_lm_scoring,
-        op9_decontamination, op10_licenses, op13_hard_negatives)
+        op9_decontamination, op10_licenses, op12_prefix_trie, op13_hard_negatives)
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op6_line_dedup": oracles.LINES,
     "op9_decontamination": oracles.DECONTAMINATION, "op10_licenses": oracles.LICENSES,
+    "op12_prefix_trie": oracles.TRIE,
     "op13_hard_negatives": oracles.NEGATIVES,
 }
