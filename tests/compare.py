@@ -38,7 +38,16 @@ def rows_of(pdf, columns):
     return sorted(tuple(canonical(v) for v in row) for row in pdf[columns].astype(object).itertuples(index=False, name=None))
 
 
+def plain(pdf):
+    """Columns of nullable integers as pandas has them elsewhere: doubles if there is a null, else integers."""
+    for c in pdf.columns:
+        if str(pdf[c].dtype) in ("Int64", "Int32"):
+            pdf[c] = pdf[c].astype("float64" if pdf[c].isna().any() else pdf[c].dtype.numpy_dtype)
+    return pdf
+
+
 def differences(spark_pdf, duck_pdf) -> str | None:
+    spark_pdf, duck_pdf = plain(spark_pdf), plain(duck_pdf)
     a, b = sorted(spark_pdf.columns), sorted(duck_pdf.columns)
     if a != b:
         return f"columns differ: only spark {sorted(set(a) - set(b))}, only sql {sorted(set(b) - set(a))}"
