@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import licenses, lines, mixing, quality
+from tidewatch.llm import licenses, lines, mixing, quality, warc
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -159,3 +159,12 @@ SELECT n.c AS conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0)
   saved_tokens::BIGINT AS saved_tokens, ends_sha256
 FROM n LEFT JOIN k USING (depth, name) JOIN s USING (depth, name) LEFT JOIN up ON up.c = n.c AND up.depth = n.depth
 """
+
+WARC = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: '{warc.BASE32}'[1 + ((('0x' || h[5 * i + 1:5 * i + 5])::BIGINT >> s) & 31)]), '')), '') AS payload_digest,
+        min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to FROM d
+"""

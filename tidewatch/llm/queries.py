@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontam, html, licenses, lines, lm, mixing, negatives, oracles, quality, simhash, toxicity, trie, urls
+from tidewatch.llm import decontam, html, licenses, lines, lm, mixing, negatives, oracles, quality, simhash, toxicity, trie, urls, warc
 from tidewatch.llm.common import read
 
 
@@ -56,6 +56,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))     # pages has no time of capture
+    index = warc.archive(read(spark, sf_dir, "pages"), time)
+    return index.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(read(spark, sf_dir, "conversations")).drop("enter", "exit")
 
@@ -68,11 +76,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_toxicity, op2_mixing, op3_simhash, op4_quality, op5_html, op6_line_dedup, op7_url_filter, op8_lm_scoring,
-        op9_decontamination, op10_licenses, op12_prefix_trie, op13_hard_negatives)
+        op9_decontamination, op10_licenses, op11_warc, op12_prefix_trie, op13_hard_negatives)
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": oracles.MIXING, "op4_quality": oracles.QUALITY, "op6_line_dedup": oracles.LINES,
     "op9_decontamination": oracles.DECONTAMINATION, "op10_licenses": oracles.LICENSES,
-    "op12_prefix_trie": oracles.TRIE,
+    "op11_warc": oracles.WARC, "op12_prefix_trie": oracles.TRIE,
     "op13_hard_negatives": oracles.NEGATIVES,
 }
