@@ -210,3 +210,26 @@ def test_toxicity_fits_on_one_row_per_id(spark):
     many = spark.createDataFrame(rows + [rows[0]] * 300, "doc_id long, text string")
     got = [toxicity.train_chain(d, labels, ("toxic",))[0] for d in (once, many)]
     assert abs(got[0] - got[1]).max() < 1e-5
+
+
+def test_toxicity_finds_one_word_in_long_texts(spark):
+    """Held-out texts of 40 to 2,000 words, most words met in few texts, two telling words of twelve in a toxic one."""
+    import random
+
+    draw = random.Random(9)
+    bad = [f"slur{i}" for i in range(12)]
+    rows = []
+    for i in range(1400):
+        words = [f"w{int(draw.paretovariate(0.6)) % 60_000}" for _ in range(draw.choice([40, 200, 600, 2000]))]
+        if i % 9 == 0:
+            words += draw.sample(bad, 2)
+        draw.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 7 == 0), int(i % 9 == 0)))
+    docs = spark.createDataFrame([(*r[:2], 1.0, "x") for r in rows], "doc_id long, text string, p_toxic double, fold string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows if r[0] % 2], "doc_id long, junk int, toxic int")
+    got = {r["id"]: r["p_toxic"] for r in toxicity.classify(docs, labels, ("junk", "toxic")).collect()}
+    test = [r for r in rows if r[0] % 2 == 0]
+    clean = sorted(got[r[0]] for r in test if not r[3])
+    cut = clean[int(0.9 * len(clean))]
+    assert sum(got[r[0]] > cut for r in test if r[3]) / sum(r[3] for r in test) > 0.95
+    assert toxicity.classify(docs.limit(0), labels, ("junk", "toxic")).count() == 0
