@@ -69,3 +69,29 @@ def progression_states(windows: DataFrame, cfg: WindowConfig = WindowConfig(), k
         "progression_idx": first_match([(F.col("progression_state") == s, i) for i, s in enumerate(STATES)], 0),
         "y_attack": F.col("progression_state").isin(*ATTACK_STATES).cast("int"),
     }).drop("_pre", "_pos", "_len", "_peak", "_prev", "episode")
+
+
+def progression_now(windows: DataFrame, cfg: WindowConfig = WindowConfig(), keys=("day",)) -> DataFrame:
+    """Progression state of each window as it was known when it closed: no later window has a say.
+
+    The last window's majority vote has only rows before it, the windows before it have theirs whole, and nothing is
+    PRE_ATTACK yet. Votes reach one row at most.
+    """
+    if cfg.smooth_radius not in (0, 1):
+        raise ValueError("states of the newest window need a vote of radius 0 or 1")
+    keys = list(keys)
+    order = W.partitionBy(*keys).orderBy("window_index")
+    raw = ((F.col("attack_flows") >= cfg.min_attack_flows) & (F.col("attack_ratio") >= cfg.min_attack_ratio)).cast("int")
+    rows = episodes_of(smooth_attack_flag(windows, cfg, keys), "is_attack", keys)
+    run = W.partitionBy(*keys, "is_attack", "episode").orderBy("window_index").rowsBetween(W.unboundedPreceding, 0)
+    named = F.when(F.col("dominant_family") != BENIGN, F.col("dominant_family"))
+    rows = rows.withColumns({"_top": F.max("attack_ratio").over(run), "_fam": F.last(named, ignorenulls=True).over(run)})
+    going = F.coalesce(F.lag("is_attack").over(order), F.lit(0)) == 1
+    rows = rows.withColumns({
+        "_now": (F.avg(raw).over(order.rowsBetween(-cfg.smooth_radius, 0)) >= 0.5), "_going": going,
+        "_peak": F.greatest(F.lag("_top").over(order), F.col("attack_ratio")), "_prev": F.coalesce(F.lag("_fam").over(order), F.lit(BENIGN))})
+    changed = (F.col("dominant_family") != BENIGN) & (F.col("dominant_family") != F.col("_prev"))
+    state = first_match([
+        (~F.col("_now"), "NORMAL"), (~F.col("_going"), "ONSET"),
+        ((F.col("attack_ratio") < F.col("_peak") * 0.5) | changed, "CONTINUATION")], "ACTIVE")
+    return rows.withColumn("progression_state", state).drop("is_attack", "episode", "_top", "_fam", "_now", "_going", "_peak", "_prev")

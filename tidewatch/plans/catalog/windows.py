@@ -188,20 +188,13 @@ def closed(spark, sf):
     return tidy(rows.select("session_id", "window_index", "window_start", *[F.round(f, 9).alias(f) for f in live.STREAM_FEATURES]))
 
 
-CLOSED = f"""WITH flows AS ({duck('flows')}), aw AS (SELECT * REPLACE (CAST(protocol AS VARCHAR) AS day),
+CLOSED_CTES = f"""flows AS ({duck('flows')}), aw AS (SELECT * REPLACE (CAST(protocol AS VARCHAR) AS day),
   CAST(floor(flow_start_epoch / 3600.0::DOUBLE) AS BIGINT) AS window_index, floor(flow_start_epoch / 3600.0::DOUBLE) * 3600.0::DOUBLE AS window_start FROM flows),
-{windows_sql()[len(assigned_sql()) + 1:]}
+{windows_sql()[len(assigned_sql()) + 1:]}"""
+CLOSED = f"""WITH {CLOSED_CTES}
 SELECT day AS session_id, window_index, {doubles('window_start')}, {', '.join(r6(f"round({f}, 9)", f) for f in live.STREAM_FEATURES)} FROM win"""
 
 
-def counters(spark, sf):
-    return tidy(live.session_stats(sessions(spark, sf)))
-
-
-COUNTERS = f"""WITH flows AS ({duck('flows')}) SELECT CAST(protocol AS VARCHAR) AS session_id, {big('count(*)', 'flows_in')},
- {r6('max(flow_start_epoch)', 'last_epoch')} FROM flows GROUP BY 1"""
-
-
 def full(spark, sf):
     return tidy(state_windows(view(spark, sf, "flows"), HOURLY), *BY, "window_start", "progression_state", "y_attack",
                 "dominant_family", "attck_phase", "attck_confidence", *FEATURES)
@@ -252,7 +245,6 @@ ENTRIES = {
     "windows_progression_10min": (lambda s, d: states(s, d, TEN_MINUTES), states_text(TEN_MINUTES)),
     "windows_phase_confidence": (confidence, CONFIDENCE),
     "stream_windows_closed": (closed, CLOSED),
-    "stream_session_counters": (counters, COUNTERS),
     "windows_phases": (phased, PHASED),
     "state_windows": (full, FULL),
     "windows_epoch_buckets": (epoch_buckets, EPOCH_BUCKETS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.config import FEATURES, Config
+from tidewatch.config import BENIGN, FEATURES, Config
 from tidewatch.operators import clean, forecast, phases, rules, sequences
 from tidewatch.plans.corpus import state_windows
 from tidewatch.session import durable
@@ -19,6 +19,35 @@ def upload_windows(upload: DataFrame, cfg: Config = Config()) -> DataFrame:
     return state_windows(contract.to_engine(rows), cfg.window)
 
 
+STEP_FIELDS = ["horizon_seconds", "attack_prob", "progression_state", "state_prob", "attck_tactic", "attck_techniques", "attck_phase",
+               "attck_confidence", "attck_rationale"]
+
+
+def with_horizon(rows: DataFrame, table: DataFrame, keep: list[str], cfg: Config = Config()) -> DataFrame:
+    """Nested horizon, phases and alert of rows with ``keep``, ``progression_state``, ``family`` and ``family_inferred``."""
+    steps = forecast.state_forecast(rows.select(*keep, "progression_state"), table, cfg.sequence.horizon)
+    steps = steps.drop("progression_state").withColumnRenamed("forecast_state", "progression_state").withColumns(
+        {"prev_family": F.lit(None).cast("string"), "horizon_seconds": F.col("k") * float(cfg.window.window_seconds)})
+    steps = phases.forecast_phases(steps, cfg.window)
+    dist = F.map_filter("progression_dist", lambda _, v: v.isNotNull())
+    nested = forecast.nest_horizon(steps.withColumn("dist_json", F.to_json(dist)), keep, [*STEP_FIELDS, "dist_json"])
+    return forecast.anchors_with_alert(nested, cfg.alert, cfg.sequence, cfg.window)
+
+
+def with_family(rows: DataFrame, scaler: DataFrame | None, hint: str | None = None) -> DataFrame:
+    """Family of each row from its scaled features, or from ``hint`` alone if there is no scaler."""
+    if scaler is None:
+        blank = F.lit(None).cast("string")
+        return rows.withColumns({"family": F.lit(hint or BENIGN), "family_inferred": F.lit(False), "possible_family": blank, "possible_family_confidence": blank})
+    median, width = sequences.scale_columns(scaler)
+    rows = rows.withColumn("_z", sequences.scale_vector(F.array(*FEATURES), median, width))
+    return forecast.choose_family(forecast.guess_family(rows, lambda n: F.col("_z")[FEATURES.index(n)]), hint).drop("_z", "guess", "guess_confidence")
+
+
+ANCHOR_FIELDS = ["window_index", "window_start", "family", "family_inferred", "possible_family", "possible_family_confidence",
+                 "syn_ratio", "flow_count", "port_entropy", "bytes_per_sec", "packet_rate"]
+
+
 def forecast_anchors(windows: DataFrame, table: DataFrame, scaler: DataFrame, cfg: Config = Config(),
                      hint: str | None = None, rule_set: rules.RuleSet | None = None) -> DataFrame:
     """One nested row per anchor.
@@ -26,26 +55,10 @@ def forecast_anchors(windows: DataFrame, table: DataFrame, scaler: DataFrame, cf
     ``table`` is the lead-k state table of the training windows and ``scaler`` the
     fitted medians and ranges; both are small and fixed in size.
     """
-    K, w = cfg.sequence.horizon, cfg.window.window_seconds
     anchors = sequences.serving_sequences(windows, cfg.sequence).select("day", "window_index")
     rows = windows.join(anchors, ["day", "window_index"], "left_semi")
-    median, width = sequences.scale_columns(scaler)
-    rows = rows.withColumn("_z", sequences.scale_vector(F.array(*FEATURES), median, width))
-    rows = forecast.choose_family(forecast.guess_family(rows, lambda n: F.col("_z")[FEATURES.index(n)]), hint)
-    rows = rules.rule_features(rows)
-    keep = ["day", "window_index", "window_start", "family", "family_inferred", "possible_family", "possible_family_confidence",
-            "syn_ratio", "flow_count", "port_entropy", "bytes_per_sec", "packet_rate"]
-    steps = forecast.state_forecast(rows.select(*keep, "progression_state"), table, K)
-    steps = steps.drop("progression_state").withColumnRenamed("forecast_state", "progression_state").withColumns(
-        {"prev_family": F.lit(None).cast("string"), "horizon_seconds": F.col("k") * float(w)})
-    steps = phases.forecast_phases(steps, cfg.window)
-    fields = ["horizon_seconds", "attack_prob", "progression_state", "state_prob", "attck_tactic", "attck_techniques", "attck_phase",
-              "attck_confidence", "attck_rationale"]
-    dist = F.map_filter("progression_dist", lambda _, v: v.isNotNull())
-    steps = steps.withColumn("dist_json", F.to_json(dist))
-    nested = forecast.nest_horizon(steps, keep, [*fields, "dist_json"])
-    nested = forecast.anchors_with_alert(nested, cfg.alert, cfg.sequence, cfg.window)
-    return (rule_set or rules.RuleSet()).evaluate(nested)
+    rows = rules.rule_features(with_family(rows, scaler, hint))
+    return (rule_set or rules.RuleSet()).evaluate(with_horizon(rows, table, ["day", *ANCHOR_FIELDS], cfg))
 
 
 def summary(anchors: DataFrame) -> DataFrame:

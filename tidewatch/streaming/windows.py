@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.config import BENIGN, DELTA_FEATURES, FEATURES, SequenceConfig, WindowConfig
+from tidewatch.operators.progression import progression_now
+from tidewatch.operators.sequences import serving_sequences
+from tidewatch.operators.windows import fill_idle, time_features
 
 GRACE_SECONDS = 3
 SESSION_TTL_SECONDS = 900
+MARKER = "is_marker"
 SIZE_STEP = 256          # sizes are rounded to 1/256 of a log unit before the histogram, so at most ~10,000 remain
 SUMS = ("fwd_pkts", "bwd_pkts", "fwd_bytes", "bwd_bytes", "flag_syn", "flag_ack", "flag_rst", "flag_fin", "flag_psh",
         "flag_urg", "retransmission_count", "is_attack")
@@ -63,10 +67,14 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
              kind("port", F.col("dst_port")), kind("size", size), kind("flow", blank)]
     if "attack_family" in have:
         kinds.append(F.when(num("is_attack") == 1, kind("fam", F.col("attack_family"))))
+    kinds = F.array_compact(F.array(*kinds))
+    if MARKER in have:
+        # a marker only moves the watermark. The event time is named here so that no filter on it is moved below the watermark
+        kinds = F.filter(kinds, lambda x: ~F.col(MARKER) & F.col("event_time").isNotNull())
     rows = rows.select(
         F.coalesce(F.col("session_id"), F.lit("default")).alias("session_id") if "session_id" in have else F.lit("default").alias("session_id"),
         "event_time", F.col("protocol"), *[num(c).alias(c) for c in dict.fromkeys(SUMS + SQUARES + MEANS + TOPS)],
-        F.explode(F.array_compact(F.array(*kinds))).alias("x")).select("*", "x.*").drop("x")
+        F.explode(kinds).alias("x")).select("*", "x.*").drop("x")
     only = F.col("kind") == "flow"
 
     def own(c):
@@ -148,10 +156,39 @@ def _finish(rows: DataFrame, w: float, start_epoch: float) -> DataFrame:
 
 
 STREAM_FEATURES = tuple(f for f in FEATURES if not f.startswith("d_") and f not in ("time_since_prev_window", "window_index_in_day"))
-ANCHOR_SCHEMA = ("session_id string, window_index bigint, window_start double, syn_ratio double, "
+ANCHOR_SCHEMA = ("session_id string, window_index bigint, window_start double, syn_ratio double, progression_state string, "
                  "features array<double>, x array<array<double>>, dt array<double>")
 
 
+class Progression:
+    """State of the newest window from the windows before it, one step a window: ``progression_now`` in a stream."""
+
+    def __init__(self, cfg: WindowConfig, state: dict | None = None):
+        if cfg.smooth_radius not in (0, 1):
+            raise ValueError("states of the newest window need a vote of radius 0 or 1")
+        # the windows whose votes may still change or are needed, and length, peak and last family of the run before them
+        self.cfg, self.state = cfg, state or {"last": [], "run": [0, 0.0, BENIGN]}
+
+    def step(self, flows: float, ratio: float, family: str) -> str:
+        raw = int(flows >= self.cfg.min_attack_flows and ratio >= self.cfg.min_attack_ratio)
+        last, run, r = self.state["last"], self.state["run"], self.cfg.smooth_radius
+        if last:                                  # the vote on the window before is complete now
+            votes = [w[0] for w in last][-1 - r:] + [raw] * r
+            if 2 * sum(votes) >= len(votes):
+                _, its_ratio, its_family = last[-1]
+                run = [run[0] + 1, max(run[1], its_ratio), its_family if its_family != BENIGN else run[2]]
+            else:
+                run = [0, 0.0, BENIGN]
+        votes = ([w[0] for w in last][-r:] if r else []) + [raw]
+        self.state = {"last": [*last, [raw, ratio, family]][-2:], "run": run}
+        if 2 * sum(votes) < len(votes):
+            return "NORMAL"
+        if not run[0]:
+            return "ONSET"
+        changed = family not in (BENIGN, run[2])
+        return "CONTINUATION" if ratio < 0.5 * max(run[1], ratio) or changed else "ACTIVE"
+
+
 class AnchorProcessor(StatefulProcessor):
     """Per session: fill short idle gaps, add time features and emit an anchor for each window with a full history."""
 
@@ -160,13 +197,13 @@ class AnchorProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # state: index, start and ordinal of the last window, its features, and the last rows of history
+        # state: index, start and ordinal of the last window, its features, its progression, and the last rows of history
         self.last = handle.getValueState("last", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         w, gap = float(self.cfg.window_seconds), self.cfg.max_idle_gap
         got = self.last.get() if self.last.exists() else None
-        state = json.loads(got[0]) if got else {"index": None, "start": 0.0, "ordinal": -1, "history": []}
+        state = json.loads(got[0]) if got else {"index": None, "start": 0.0, "ordinal": -1, "history": [], "progression": None}
         out = []
         batch = pd.concat(list(rows)).sort_values("window_index")
         for r in batch.to_dict("records"):
@@ -178,18 +215,18 @@ class AnchorProcessor(StatefulProcessor):
                 if 0 < missing <= gap:
                     for i in range(state["index"] + 1, index):
                         start = float(r["window_start"]) - (index - i) * w
-                        out += self._step(key[0], i, start, 0.0, [0.0] * len(STREAM_FEATURES), state)
-            values = [float(r[f]) for f in STREAM_FEATURES]
-            out += self._step(key[0], index, float(r["window_start"]), float(r["syn_ratio"]), values, state)
+                        idle = {f: 0.0 for f in ("syn_ratio", "attack_flows", "attack_ratio", *STREAM_FEATURES)}
+                        out += self._step(key[0], i, start, idle | {"dominant_family": BENIGN}, state)
+            out += self._step(key[0], index, float(r["window_start"]), r, state)
         self.last.update((json.dumps(state),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(int((state["start"] + w + self.ttl) * 1000))
-        yield pd.DataFrame(out, columns=["session_id", "window_index", "window_start", "syn_ratio", "features", "x", "dt"])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ANCHOR_SCHEMA.split(", ")])
 
-    def _step(self, session, index, start, syn_ratio, values, state):
+    def _step(self, session, index, start, values, state):
         import math
-        named = dict(zip(STREAM_FEATURES, values))
+        named = {f: float(values[f]) for f in STREAM_FEATURES}
         first = state["index"] is None
         before = state.get("named") or {}
         since = float(self.cfg.window_seconds) if first else start - state["start"]
@@ -199,13 +236,15 @@ class AnchorProcessor(StatefulProcessor):
         for f in DELTA_FEATURES:
             named[f"d_{f}"] = 0.0 if first else named[f] - before[f]
         row = [float(named[f]) for f in FEATURES]
+        progression = Progression(self.cfg, state["progression"])
+        now = progression.step(float(values["attack_flows"] or 0.0), float(values["attack_ratio"] or 0.0), values["dominant_family"] or BENIGN)
         if not first and index - state["index"] != 1:
             state["history"] = []
         state["history"] = (state["history"] + [[row, math.log1p(max(since, 0.0))]])[-self.seq.history:]
-        state.update(index=index, start=start, named={f: named[f] for f in DELTA_FEATURES})
+        state.update(index=index, start=start, named={f: named[f] for f in DELTA_FEATURES}, progression=progression.state)
         if len(state["history"]) < self.seq.history:
             return []
-        return [(session, index, start, syn_ratio, row, [h[0] for h in state["history"]], [h[1] for h in state["history"]])]
+        return [(session, index, start, float(values["syn_ratio"]), now, row, [h[0] for h in state["history"]], [h[1] for h in state["history"]])]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -225,16 +264,21 @@ def stream_anchors(windows: DataFrame, cfg: WindowConfig = WindowConfig(), seq:
         eventTimeColumnName="")
 
 
+def batch_anchors(windows: DataFrame, cfg: WindowConfig = WindowConfig(), seq: SequenceConfig = SequenceConfig()) -> DataFrame:
+    """The rows of ``stream_anchors`` for a finished table of closed windows, by window functions."""
+    keys = ["session_id"]
+    rows = fill_idle(windows.drop("window_end"), cfg, keys)
+    rows = time_features(progression_now(rows, cfg, keys), cfg, keys)
+    full = serving_sequences(rows, seq, FEATURES, keys)
+    own = rows.select(*keys, "window_index", "syn_ratio", "progression_state", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("features"))
+    return full.join(own, [*keys, "window_index"]).select(*[c.split()[0] for c in ANCHOR_SCHEMA.split(", ")])
+
+
 def anchor_columns(anchors: DataFrame) -> DataFrame:
     """Feature array -> named columns, so that the rule set applies to the stream as it does to a batch."""
     return anchors.select("*", *[F.element_at("features", i + 1).alias(f) for i, f in enumerate(FEATURES) if f != "syn_ratio"])
 
 
-def session_stats(flows: DataFrame) -> DataFrame:
-    """Running flows and last event per session (update mode)."""
-    return flows.groupBy("session_id").agg(F.count(F.lit(1)).alias("flows_in"), F.max("flow_start_epoch").alias("last_epoch"))
-
-
 def write_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool = False):
     """Append to Parquet; each window or anchor is written exactly once."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
