@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.config import BENIGN
+from tidewatch.functions.columns import endpoint_key
 from tidewatch.session import durable
+from tidewatch.sources.contract import twelve_hour_seconds
 
 
 def first_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
@@ -106,5 +108,21 @@ def label_histogram(matches: DataFrame, label: str = "label") -> DataFrame:
     return matches.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def without_helpers(df: DataFrame, helpers=("unified_row_id", "canon_key", "epoch_sec", "ts_str", "t_sec")) -> DataFrame:
+HELPERS = ("unified_row_id", "canon_key", "epoch_sec", "ts_str", "t_sec")
+
+
+def without_helpers(df: DataFrame, helpers=HELPERS) -> DataFrame:
     return df.drop(*helpers)
+
+
+def match_side(rows: DataFrame, keep: list, flow_id: str, src_ip: str, src_port: str, dst_ip: str, dst_port: str, protocol: str,
+               timestamp: str, fwd_pkts: str) -> DataFrame:
+    """What the three stages compare, under one set of names, from the columns given: ids, addresses, direction-free key, time text
+    and its seconds, and forward packets as a whole number. ``keep`` goes along."""
+    c = lambda name: F.col(f"`{name}`")
+    text = F.trim(c(timestamp))
+    number = lambda name: c(name).try_cast("double").cast("bigint")
+    return rows.select(
+        *keep, c(flow_id).alias("flow_id"), c(src_ip).alias("src_ip"), c(dst_ip).alias("dst_ip"),
+        endpoint_key(c(src_ip), number(src_port), c(dst_ip), number(dst_port), number(protocol)).alias("canon_key"),
+        text.alias("ts_str"), twelve_hour_seconds(text).alias("t_sec"), number(fwd_pkts).alias("fwd_pkts"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("windows", "cleaning", "forecasting", "evaluation", "network", "learning", "live")
+MODULES = ("windows", "cleaning", "forecasting", "evaluation", "network", "learning", "live", "capture")
 
 
 def load() -> tuple[dict, dict]:

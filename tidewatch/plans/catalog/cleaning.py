@@ -217,10 +217,12 @@ def pair_sql(name, left, right, keys):
  (SELECT {ks}, min(orig_id) AS orig_id, arg_min(label, orig_id) AS label FROM {right} GROUP BY {ks}) r USING ({ks}))"""
 
 
-TRANSFER = f"""WITH l0 AS (SELECT *, true_type AS kind FROM ({duck('unlabelled')})), r0 AS (SELECT *, label AS kind FROM ({duck('labelled_ref')})),
-{pair_sql('m1', 'l0', 'r0', ['canon_key', 't_sec', 'kind'])},
+def transfer_sql(left: str, right: str, exact: list[str], loose: list[str]) -> str:
+    """CTEs up to ``mm``, the pairs of the three stages; both sides have their id, ``canon_key`` and ``t_sec``."""
+    return f"""l0 AS ({left}), r0 AS ({right}),
+{pair_sql('m1', 'l0', 'r0', exact)},
 l1 AS (SELECT * FROM l0 WHERE flow_row_id NOT IN (SELECT flow_row_id FROM m1)), r1 AS (SELECT * FROM r0 WHERE orig_id NOT IN (SELECT orig_id FROM m1)),
-{pair_sql('m2', 'l1', 'r1', ['canon_key', 't_sec'])},
+{pair_sql('m2', 'l1', 'r1', loose)},
 l2 AS (SELECT * FROM l1 WHERE flow_row_id NOT IN (SELECT flow_row_id FROM m2)), r2 AS (SELECT * FROM r1 WHERE orig_id NOT IN (SELECT orig_id FROM m2)),
 cand AS (SELECT l.flow_row_id, l.t_sec, r.orig_id, r.label, abs(l.t_sec - r.t_sec) AS gap, CASE WHEN r.t_sec <= l.t_sec THEN 0 ELSE 1 END AS side
   FROM l2 l JOIN r2 r ON l.canon_key = r.canon_key AND r.t_sec BETWEEN l.t_sec - 2 AND l.t_sec + 2),
@@ -229,6 +231,11 @@ m3 AS (SELECT flow_row_id, orig_id, label FROM near QUALIFY row_number() OVER (P
 mm AS (SELECT *, 1 AS stage FROM m1 UNION ALL SELECT *, 2 FROM m2 UNION ALL SELECT *, 3 FROM m3)"""
 
 
+TRANSFER = "WITH " + transfer_sql(
+    f"SELECT *, true_type AS kind FROM ({duck('unlabelled')})", f"SELECT *, label AS kind FROM ({duck('labelled_ref')})",
+    ["canon_key", "t_sec", "kind"], ["canon_key", "t_sec"])
+
+
 def nearest(spark, sf):
     left, right = sides(spark, sf)
     got = labels.nearest_in_time(left, right, "canon_key", "t_sec", 2, "flow_row_id", "orig_id", ["label"])

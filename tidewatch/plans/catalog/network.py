@@ -118,13 +118,16 @@ MICROS = ("flow_duration", "Flow IAT Mean", "Flow IAT Std", "Fwd IAT Total", "Bw
 
 
 def full(spark, sf, profile):
-    rows = assembler.assemble(view(spark, sf, "dense_packets"), profile, chunk_seconds=3600.0)
+    return flow_rows(assembler.assemble(view(spark, sf, "dense_packets"), profile, chunk_seconds=3600.0))
+
+
+def flow_rows(rows):
     names = {n: n.lower().replace(" ", "_").replace("/", "_") for n in FLOW_NUMBERS}
     return tidy(rows.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "flow_start_epoch",
                             *[(F.col(f"`{n}`").cast("double") / (1e3 if n in MICROS else 1.0)).alias(a) for n, a in names.items()]))
 
 
-def full_sql(profile: assembler.Profile) -> str:
+def full_sql(profile: assembler.Profile, packets: str = duck("dense_packets")) -> str:
     closes = "p.fin <> 0" if profile.any_fin_closes else "(p.fin <> 0 AND NOT (p.same OR p.side = s.orient)) OR (p.rst <> 0 AND p.fin = 0)"
     drop = "false" if profile.any_fin_closes else "p.fin <> 0 AND (p.same OR p.side = s.orient) AND s.ffin > 0"
     ffin = "0" if profile.any_fin_closes else "CASE WHEN p.fin <> 0 AND (p.same OR p.side = s.orient) THEN 1 ELSE s.ffin END"
@@ -133,7 +136,7 @@ def full_sql(profile: assembler.Profile) -> str:
     syn = "psh_n" if profile.permuted_flags else "syn_n"
     swap = "orient <> oside AND oip <> odip"
     sub = "n - 1" if profile.subflow_every_packet else "coalesce(subs, 0)"
-    return f"""WITH RECURSIVE dp AS ({duck('dense_packets')}),
+    return f"""WITH RECURSIVE dp AS ({packets}),
 pk AS (SELECT *, src_ip || ':' || sport AS a, dst_ip || ':' || dport AS b FROM dp),
 pp AS (SELECT *, least(a, b) || '<->' || greatest(a, b) || ':' || proto AS key, CASE WHEN a > b THEN 1 ELSE 0 END AS side, src_ip = dst_ip AS same,
   row_number() OVER (PARTITION BY least(a, b), greatest(a, b), proto ORDER BY ts_us, pkt_id) AS rn FROM pk),

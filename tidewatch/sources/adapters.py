@@ -155,6 +155,31 @@ SELECT event_id AS pkt_id,
 FROM {events}
 """
 
+# The dense packets as the text table they would be read from. UDP has no flags, window or retransmissions and a fixed header there.
+PACKET_TEXT = """
+SELECT pkt_id, concat(CAST(ts_us {div} 1000000 AS VARCHAR(20)), '.', lpad(CAST(ts_us % 1000000 AS VARCHAR(20)), 6, '0')) AS `frame.time_epoch`,
+  CAST(CAST(frame_len AS BIGINT) AS VARCHAR(20)) AS `frame.len`, src_ip AS `ip.src`, dst_ip AS `ip.dst`, CAST(proto AS VARCHAR(20)) AS `ip.proto`,
+  CAST(CAST(ttl AS BIGINT) AS VARCHAR(20)) AS `ip.ttl`, CASE WHEN more_frag THEN '1' ELSE '0' END AS `ip.flags.mf`,
+  CASE WHEN dont_frag THEN '1' ELSE '' END AS `ip.flags.df`, CAST(CAST(frag_offset AS BIGINT) AS VARCHAR(20)) AS `ip.frag_offset`,
+  CASE WHEN is_tcp THEN CAST(sport AS VARCHAR(20)) ELSE '' END AS `tcp.srcport`, CASE WHEN is_tcp THEN CAST(dport AS VARCHAR(20)) ELSE '' END AS `tcp.dstport`,
+  CASE WHEN is_tcp THEN CAST(CAST(tcp_window AS BIGINT) AS VARCHAR(20)) ELSE '' END AS `tcp.window_size_value`,
+  CASE WHEN is_tcp THEN CAST(CAST(payload_len AS BIGINT) AS VARCHAR(20)) ELSE '' END AS `tcp.len`,
+  CASE WHEN is_tcp THEN CAST(CAST(header_len AS BIGINT) AS VARCHAR(20)) ELSE '' END AS `tcp.hdr_len`, '' AS `tcp.seq`,
+  CASE WHEN is_tcp THEN CAST(fin + 2 * syn + 4 * rst + 8 * psh + 16 * ack AS VARCHAR(20)) ELSE '' END AS `tcp.flags`,
+  CASE WHEN is_tcp AND is_retx THEN '1' ELSE '' END AS `tcp.analysis.retransmission`,
+  CASE WHEN is_tcp THEN '' ELSE CAST(sport AS VARCHAR(20)) END AS `udp.srcport`, CASE WHEN is_tcp THEN '' ELSE CAST(dport AS VARCHAR(20)) END AS `udp.dstport`,
+  CASE WHEN is_tcp THEN '' ELSE CAST(CAST(payload_len AS BIGINT) + 8 AS VARCHAR(20)) END AS `udp.length`
+FROM ({packets}) p
+"""
+
+# Flows with the text a published table identifies them by.
+FLOW_TEXT = """
+SELECT event_id, concat('10.0.0.', CAST(user_id % 40 AS VARCHAR(20))) AS src_ip, concat('10.1.0.', CAST(event_id % 23 AS VARCHAR(20))) AS dst_ip,
+  1024 + event_id % 600 AS src_port, 80 + event_id % 3 AS dst_port, CASE WHEN event_id % 10 = 0 THEN 17 ELSE 6 END AS protocol,
+  1 + event_id % 9 AS fwd_pkts, ts, event_type
+FROM {events}
+"""
+
 VIEWS = {"flows": FLOWS, "packets": PACKETS, "labelled_ref": LABELLED_REF,
          "unlabelled": UNLABELLED, "scores": SCORES}
 
@@ -166,6 +191,8 @@ def duck(name: str) -> str:
             time_text="strftime(ts, '%d/%m/%Y %H:%M:%S')")
     if name == "dense_packets":
         return DENSE_PACKETS.format(packets=duck("packets"))
+    if name == "flow_text":
+        return FLOW_TEXT.format(events="events")
     if name == "raw_packets":
         return RAW_PACKETS.replace("`", '"').format(events="events", epoch_text=f"printf('%.6f', {DUCK_EPOCH})")
     return VIEWS[name].format(epoch=DUCK_EPOCH, events="events")
@@ -183,6 +210,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(text, src=table(spark, sf_dir, "events"))
     if name == "dense_packets":
         return spark.sql(DENSE_PACKETS.format(packets="SELECT * FROM {src}"), src=view(spark, sf_dir, "packets"))
+    if name == "packet_text":
+        return spark.sql(PACKET_TEXT.format(packets="SELECT * FROM {src}", div="div"), src=view(spark, sf_dir, "dense_packets"))
+    if name == "flow_text":
+        return spark.sql(FLOW_TEXT.format(events="{src}"), src=table(spark, sf_dir, "events"))
     if name == "raw_packets":
         text = RAW_PACKETS.format(events="{src}", epoch_text=f"format_string('%.6f', {SPARK_EPOCH})")
         return spark.sql(text, src=table(spark, sf_dir, "events"))

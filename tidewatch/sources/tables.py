@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.sources.contract import trim_names
+from tidewatch.sources.rows import numbered
 
 # Text columns of the packet table.
 PACKET_FIELDS = (
@@ -65,10 +66,18 @@ def read_flow_csv(spark: SparkSession, paths: list[str], fallback: list[str] = (
     return out
 
 
-def read_packet_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Packet table; every field stays text and empty text stays empty."""
+def read_packet_csv(spark: SparkSession, paths: list[str], row_id: str = "pkt_id") -> DataFrame:
+    """Packet table; every field stays text and empty text stays empty. ``row_id`` numbers the packets by file and line."""
     reader = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "")
-    return reader.schema(PACKET_SCHEMA).csv(paths).fillna("")
+    return numbered(reader.schema(PACKET_SCHEMA).csv(paths), row_id).fillna("")
+
+
+def read_label_csv(spark: SparkSession, paths: list[str], row_id: str = "label_row_id") -> DataFrame:
+    """Published flow table with labels: text columns under trimmed names, rows numbered by file and line, labels trimmed."""
+    head = spark.read.csv(paths[0], header=True, inferSchema=False).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in head])
+    rows = trim_names(numbered(spark.read.option("header", True).schema(schema).csv(paths), row_id))
+    return rows.withColumn("Label", F.trim("Label"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
