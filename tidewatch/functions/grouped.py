@@ -38,30 +38,37 @@ def islands(change: Column, window) -> Column:
     return F.sum(F.when(change, 1).otherwise(0)).over(window)
 
 
-def running_totals(rows: DataFrame, group: list[str], order: str, sums: list[str],
-                   bucket: Column, descending: bool = True) -> DataFrame:
-    """Inclusive running sums in ``order`` within ``group``, in two levels.
+def range_parts(rows: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+    """``rows`` with ``_part``: consecutive ranges of (group, order) with about equal numbers of rows, stored.
 
-    ``bucket`` has to be a non-decreasing function of ``order`` with a bounded
-    number of values. Level one sums whole buckets, level two runs inside a
-    bucket, so no task sees a whole group. ``rows`` should hold one row per
-    distinct ``order`` value (reduce first). Adds ``cum_<name>`` and ``all_<name>``.
+    Spark picks the limits from a sample of the rows, so a group with a third of them, or with most of its values in a narrow
+    stretch, is spread over a third of the parts. Rows that are equal in all of ``order`` stay together.
     """
-    def by(name):
-        return F.col(name).desc() if descending else F.col(name).asc()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), name)
+
 
-    rows = rows.withColumn("_bucket", bucket)
-    level = rows.groupBy(*group, "_bucket").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
-    across = W.partitionBy(*group).orderBy(by("_bucket"))
+def running_totals(rows: DataFrame, group: list[str], order: str, sums: list[str], descending: bool = True) -> DataFrame:
+    """Inclusive running sums in ``order`` within ``group``, in two levels.
+
+    Level one sums whole parts of ``range_parts``, level two runs inside a part, so no task sees a whole group. ``rows`` should hold
+    one row per distinct ``order`` value (reduce first). Adds ``cum_<name>`` and ``all_<name>``.
+    """
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    rows = range_parts(rows, group, [by], "running-totals")
+    level = rows.groupBy(*group, "_part").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums])
+    whole, across = W.partitionBy(*group), W.partitionBy(*group).orderBy("_part")
     level = level.select(
-        *group, "_bucket",
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"),
         *[(F.sum(f"_b_{s}").over(across) - F.col(f"_b_{s}")).alias(f"_before_{s}") for s in sums],
-        *[F.sum(f"_b_{s}").over(W.partitionBy(*group)).alias(f"all_{s}") for s in sums],
+        *[F.sum(f"_b_{s}").over(whole).alias(f"all_{s}") for s in sums],
     )
-    inside = W.partitionBy(*group, "_bucket").orderBy(by(order)).rowsBetween(W.unboundedPreceding, 0)
-    joined = rows.join(level, group + ["_bucket"])
-    return joined.select(
-        *rows.drop("_bucket").columns,
+    inside = W.partitionBy(*group, "_part").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return rows.join(level, same).select(
+        *[c for c in rows.columns if c != "_part"],
         *[(F.col(f"_before_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums],
         *[f"all_{s}" for s in sums],
     )
@@ -140,12 +147,13 @@ def quantiles(rows: DataFrame, group: list[str], value: str, probs: list[float],
     return got.select(*group, F.explode(F.arrays_zip(wanted.alias("p"), F.col("_q").alias("q"))).alias("_z")).select(*group, "_z.p", "_z.q")
 
 
-def hash_rank(rows: DataFrame, group: list[str], draw: Column, ties: list[str], name: str, buckets: int = 1024) -> DataFrame:
+def hash_rank(rows: DataFrame, group: list[str], draw: Column, ties: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """0-based position of each row in its group by a uniform draw, and ``<name>_of`` = rows in the group.
 
-    Positions are counted per slice of the draw and shifted by the slices before it,
-    so a group is never ordered in one task.
+    Positions are counted per slice of the draw and shifted by the slices before it, so a group is never ordered in one task.
+    There are 1,024 slices, or four for each shuffle partition if that is more.
     """
+    buckets = buckets or max(1024, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("_d", draw).withColumn("_slice", F.floor(F.col("_d") * buckets).cast("int"))
     counts = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     shift = counts.select(

@@ -17,7 +17,7 @@ from tidewatch.config import AugmentConfig, SequenceConfig, WindowConfig
 from tidewatch.functions.columns import unit_draw
 from tidewatch.functions.grouped import hash_rank
 from tidewatch.operators.windows import TIME, origins
-from tidewatch.session import durable
+from tidewatch.session import durable, stored
 
 # Families never augmented, and columns scaled by the timing jitter.
 UNLEARNABLE = ("Heartbleed", "Infiltration", "Web Attack SQL Injection")
@@ -33,7 +33,7 @@ GAP_WINDOWS = 120.0
 
 def flow_split_labels(flows: DataFrame, windows: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
     """Flows with ``_wi`` and ``_split`` of their window; a window without a split trains."""
-    start = flows.join(origins(flows, ["day"]), ["day"])
+    start = flows.join(stored(origins(flows, ["day"]), "origins"), ["day"])
     rows = start.withColumn("_wi", F.floor((F.col(TIME) - F.col("t0")) / cfg.window_seconds)).drop("t0")
     labels = windows.select("day", F.col("window_index").alias("_wi"), F.col("split").alias("_split"))
     joined = rows.join(labels, ["day", "_wi"], "left")

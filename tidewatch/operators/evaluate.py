@@ -12,15 +12,9 @@ from tidewatch.functions.columns import ratio
 from tidewatch.functions.grouped import running_totals
 from tidewatch.session import durable
 
-SCORE_BUCKETS = 4096
 MIN_SUPPORT = 8
 
 
-def _bucket(score: str) -> Column:
-    """Order-keeping bucket of a score in [0, 1]; anything else goes to the outer buckets."""
-    return F.least(F.greatest(F.floor(F.col(score) * SCORE_BUCKETS), F.lit(-1)), F.lit(SCORE_BUCKETS + 1)).cast("int")
-
-
 def score_counts(rows: DataFrame, group: list[str], label: str = "y_true", score: str = "y_prob") -> DataFrame:
     """(group, score) with positives and rows: the only pass over the raw scores."""
     return rows.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
@@ -29,7 +23,7 @@ def score_counts(rows: DataFrame, group: list[str], label: str = "y_true", score
 
 def score_curve(counts: DataFrame, group: list[str]) -> DataFrame:
     """Cumulative positives and rows from the highest score down, plus the totals."""
-    return running_totals(counts, group, "score", ["pos", "n"], _bucket("score"))
+    return running_totals(counts, group, "score", ["pos", "n"])
 
 
 def _f1(tp, fp, fn) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import ATTACK_STATES, BENIGN, STATES, AlertConfig, SequenceConfig, WindowConfig
 from tidewatch.functions.columns import first_match
+from tidewatch.functions.grouped import exact_quantiles
 
 # Weights of the family scores; churn, focus and fan are sums used by several families.
 CHURN = ("failed_conn_ratio", "rst_rate", "fin_rate")
@@ -83,13 +84,25 @@ def nest_horizon(steps: DataFrame, anchor: list[str], fields: list[str]) -> Data
     return steps.groupBy(*anchor).agg(F.array_sort(F.collect_list(F.struct("k", *fields))).alias("horizon"))
 
 
-def draw_summary(draws: DataFrame, anchor: list[str], prob: str = "prob") -> DataFrame:
-    """Mean, 2.5 / 97.5 percentile and population deviation of the draws of each (anchor, k)."""
-    return draws.groupBy(*anchor, "k").agg(
-        F.avg(prob).alias("attack_prob"),
-        F.percentile(prob, F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"),
-        F.stddev_pop(prob).alias("attack_std"),
-    ).withColumns({"attack_ci_lo": F.col("_ci")[0], "attack_ci_hi": F.col("_ci")[1]}).drop("_ci")
+def draw_summary(draws: DataFrame, anchor: list[str], prob: str = "prob", dist: str | None = None) -> DataFrame:
+    """Mean, 2.5 / 97.5 percentile and population deviation of the draws of each (anchor, k).
+
+    With ``dist``, an array column with a probability per state, also ``state_dist``, its mean by position over the draws, and the most
+    likely state of that with its probability. Positions are averaged side by side, so no draw is repeated per state; the percentiles
+    are located by counts in two levels, so no group's draws are ever held together.
+    """
+    by = [*anchor, "k"]
+    means = [F.avg(F.get(dist, F.lit(i))).alias(f"_s{i}") for i in range(len(STATES))] if dist else []
+    one = draws.groupBy(*by).agg(F.avg(prob).alias("attack_prob"), F.stddev_pop(prob).alias("attack_std"), *means)
+    q = exact_quantiles(draws, by, prob, [0.025, 0.975])
+    ends = q.groupBy(*by).agg(
+        F.max(F.when(F.col("p") == 0.025, F.col("q"))).alias("attack_ci_lo"), F.max(F.when(F.col("p") == 0.975, F.col("q"))).alias("attack_ci_hi"))
+    out = one.join(ends, by)
+    if not dist:
+        return out
+    names = [f"_s{i}" for i in range(len(STATES))]
+    top = F.array_max(F.array(*[F.struct(F.col(n).alias("p"), F.lit(-i).alias("o"), F.lit(s).alias("s")) for i, (n, s) in enumerate(zip(names, STATES))]))
+    return out.withColumns({"state_dist": F.array(*names), "progression_state": top["s"], "state_prob": top["p"]}).drop(*names)
 
 
 def blend(base: DataFrame, members: DataFrame, anchor: list[str], weight: float) -> DataFrame:

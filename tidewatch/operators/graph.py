@@ -93,13 +93,19 @@ def align(windows: DataFrame, nested: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gather_history(anchors: DataFrame, nested: DataFrame, keys: list[str], history: int) -> DataFrame:
-    """Graphs of the last ``history`` windows of each anchor, oldest first; missing windows are empty."""
-    steps = anchors.select(*keys, F.col("window_index").alias("anchor"), F.explode(F.sequence(F.lit(-(history - 1)), F.lit(0))).alias("o"))
-    steps = steps.withColumn("window_index", F.col("anchor") + F.col("o"))
+    """Graphs of the last ``history`` windows of each anchor, oldest first; missing windows, also those before the first, are empty.
+
+    One frame of ``history`` indices slides over each day, so a window's nodes are read once and never copied per anchor
+    before they are gathered.
+    """
+    by = [*keys, "window_index"]
+    rows = anchors.select(*by, F.lit(True).alias("_anchor")).join(nested, by, "full")
+    past = W.partitionBy(*keys).orderBy("window_index").rangeBetween(-(history - 1), 0)
+    got = F.map_from_entries(F.collect_list(F.when(F.col("nodes").isNotNull(), F.struct("window_index", "nodes"))).over(past))
     empty = F.array().cast(nested.schema["nodes"].dataType)
-    joined = steps.join(nested, [*keys, "window_index"], "left").withColumn("nodes", F.coalesce("nodes", empty))
-    packed = joined.groupBy(*keys, "anchor").agg(F.array_sort(F.collect_list(F.struct("o", "nodes"))).alias("g"))
-    return packed.select(*keys, F.col("anchor").alias("window_index"), F.transform("g", lambda s: s["nodes"]).alias("graphs"))
+    steps = F.sequence(F.lit(-(history - 1)), F.lit(0))
+    graphs = F.transform(steps, lambda o: F.coalesce(F.col("_got")[F.col("window_index") + o], empty))
+    return rows.withColumn("_got", got).where("_anchor").select(*by, graphs.alias("graphs"))
 
 
 def node_scaler(nodes: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.config import BENIGN
 from tidewatch.functions.columns import endpoint_key
-from tidewatch.session import durable
+from tidewatch.functions.grouped import range_parts
+from tidewatch.session import durable, stored
 from tidewatch.sources.contract import twelve_hour_seconds
 
 
@@ -30,30 +31,34 @@ def without(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, tolerance: float,
-                    left_id: str, right_id: str, carry: list[str] = (), cell_seconds: float = 3600.0) -> DataFrame:
+                    left_id: str, right_id: str, carry: list[str] = ()) -> DataFrame:
     """As-of join: the right row of the same key nearest in time, at most ``tolerance`` away.
 
-    Equal distances go to the earlier side; among right rows of one time the earlier
-    side takes the largest id, the later side the smallest. Time is cut into cells
-    and right rows near an edge are copied to the neighbour cell, so a busy key is
-    spread over its cells.
+    Equal distances go to the earlier side; among right rows of one time the earlier side takes the largest id, the later side the
+    smallest. Both sides are dealt out by ranges of (key, time, side, id) with equal numbers of rows, so a key with a third of all rows
+    in one hour is spread like any other. A key that goes on over several ranges gets its last right row from the ranges before and its
+    first one from the ranges after.
     """
-    width = float(max(cell_seconds, tolerance))
-    t = F.col(time).cast("double")
-    side_r = right.select(
-        F.col(key), t.alias("_t"), F.lit(0).alias("_side"), F.col(right_id).alias("_id"),
-        F.struct(F.col(time).alias("t"), F.col(right_id).alias("id"), *carry).alias("_r"),
-        F.explode(F.sequence(F.floor((t - tolerance) / width), F.floor((t + tolerance) / width))).alias("_cell"))
-    side_l = left.select(
-        F.col(key), t.alias("_t"), F.lit(1).alias("_side"), F.col(left_id).alias("_id"), F.floor(t / width).alias("_cell"))
-    both = side_r.unionByName(side_l, allowMissingColumns=True)
-    cell = W.partitionBy(key, "_cell")
+    def side(rows: DataFrame, number: int, ident: str, row: Column) -> DataFrame:
+        return rows.select(F.col(key), F.col(time).cast("double").alias("_t"), F.lit(number).alias("_side"), F.col(ident).alias("_id"), row.alias("_r"))
+
+    pack = F.struct(F.col(time).alias("t"), F.col(right_id).alias("id"), *carry)
+    right = side(right, 0, right_id, pack)
+    both = right.unionByName(side(left, 1, left_id, F.lit(None).cast(right.schema["_r"].dataType)))
+    rows = range_parts(both, [key], ["_t", "_side", "_id"], "as-of-ranges")
+    cell = W.partitionBy(key, "_part")
     up = cell.orderBy("_t", "_side", "_id").rowsBetween(W.unboundedPreceding, -1)
     down = cell.orderBy(F.desc("_t"), F.desc("_side"), F.desc("_id")).rowsBetween(W.unboundedPreceding, -1)
-    seen = both.withColumns({
-        "_back": F.last("_r", ignorenulls=True).over(up),
-        "_fore": F.last("_r", ignorenulls=True).over(down),
-    }).where("_side = 1")
+    mark = F.when(F.col("_side") == 0, F.struct("_t", "_id", "_r"))
+    ends = rows.groupBy(key, "_part").agg(F.max(mark).alias("_last"), F.min(mark).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    parts = W.partitionBy(key).orderBy("_part")
+    ends = ends.select(
+        key, "_part", F.last("_last._r", ignorenulls=True).over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"),
+        F.first("_first._r", ignorenulls=True).over(parts.rowsBetween(1, W.unboundedFollowing)).alias("_coming"))
+    ends = stored(ends.where("_carried IS NOT NULL OR _coming IS NOT NULL"), "as-of-edges")       # only keys of several ranges
+    seen = rows.withColumns({
+        "_back": F.last("_r", ignorenulls=True).over(up), "_fore": F.last("_r", ignorenulls=True).over(down)}).where("_side = 1")
+    seen = seen.join(ends, [key, "_part"], "left").withColumns({"_back": F.coalesce("_back", "_carried"), "_fore": F.coalesce("_fore", "_coming")})
     gap_b = F.col("_t") - F.col("_back.t").cast("double")
     gap_f = F.col("_fore.t").cast("double") - F.col("_t")
     ok_b = F.coalesce(gap_b <= tolerance, F.lit(False))
@@ -73,15 +78,14 @@ def first_per_right(matches: DataFrame, left_id: str, right_id: str, time: str,
 
 
 def transfer_labels(flows: DataFrame, labelled: DataFrame, exact: list[str], loose: list[str], key: str, time: str,
-                    tolerance: float, left_id: str, right_id: str, label: str = "label",
-                    cell_seconds: float = 3600.0) -> DataFrame:
+                    tolerance: float, left_id: str, right_id: str, label: str = "label") -> DataFrame:
     """(left_id, right_id, label, stage) after the three stages; each row of either side is used once."""
     # Pairs of each stage are read by the later stages and the result: written once, not recomputed.
     one = durable(first_pairs(flows, labelled, exact, left_id, right_id, label))
     left, right = without(flows, one, left_id), without(labelled, one, right_id)
     two = durable(first_pairs(left, right, loose, left_id, right_id, label))
     left, right = without(left, two, left_id), without(right, two, right_id)
-    near = nearest_in_time(left, right, key, time, tolerance, left_id, right_id, [label], cell_seconds)
+    near = nearest_in_time(left, right, key, time, tolerance, left_id, right_id, [label])
     three = first_per_right(near, left_id, right_id, time, [label])
     parts = [p.select(left_id, right_id, label, F.lit(i + 1).alias("stage")) for i, p in enumerate((one, two, three))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

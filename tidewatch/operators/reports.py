@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import BENIGN, STATES
 from tidewatch.functions.columns import first_match
+from tidewatch.session import stored
 
 
 def upload_summary(flows: DataFrame, time: str = "flow_start_epoch") -> DataFrame:
@@ -33,7 +34,7 @@ def top_values(histogram: DataFrame, n: int, by: str = "rows", name: str = "valu
 
 def attack_timeline(flows: DataFrame, keys=("day",), time: str = "flow_start_epoch") -> DataFrame:
     """Minutes since the first flow of the day for every attack flow."""
-    first = flows.groupBy(*keys).agg(F.min(time).alias("t0"))
+    first = stored(flows.groupBy(*keys).agg(F.min(time).alias("t0")), "origins")
     rows = flows.where(F.col("is_attack") == 1).join(first, list(keys))
     return rows.withColumn("minute", (F.col(time) - F.col("t0")) / 60.0).drop("t0")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import BENIGN, DELTA_FEATURES, FEATURES, WindowConfig
 from tidewatch.functions.columns import finite_or_zero
 from tidewatch.functions.grouped import entropy_aggregate, salted_join, value_counts
+from tidewatch.session import stored
 
 TIME = "flow_start_epoch"
 SIZE_BINS = 16
@@ -28,7 +29,8 @@ def assign_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), keys=("
                    start: DataFrame | None = None) -> DataFrame:
     """Add ``window_index`` and ``window_start``; overlapping windows repeat a row."""
     keys = list(keys)
-    start = origins(flows, keys) if start is None else start
+    # written, because a size estimate of the aggregate follows the flows: Spark would shuffle them all for one number a day
+    start = stored(origins(flows, keys), "origins") if start is None else start
     rows = flows.join(start, keys)
     since = F.col(TIME) - F.col("t0")
     if cfg.stride_seconds >= cfg.window_seconds:

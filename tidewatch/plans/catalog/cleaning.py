@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import clean, labels
-from tidewatch.plans.catalog.common import big, bigs, doubles, r6, tidy
+from tidewatch.plans import serve
+from tidewatch.plans.catalog.common import GRAIN, big, bigs, doubles, r6, tidy
 from tidewatch.sources import contract
 from tidewatch.sources.adapters import duck, view
 
@@ -108,6 +109,34 @@ UPLOAD = f"""WITH {RAW} SELECT row_id, {r6("epoch_us(strptime(Timestamp, '%d/%m/
  'BENIGN' AS attack_family, {big('0', 'is_attack')}, 'upload' AS day FROM raw"""
 
 
+def upload_states(spark, sf):
+    """An uploaded text table through contract, cleaning and windows."""
+    return tidy(serve.upload_windows(view(spark, sf, "raw_flows"), GRAIN).select(
+        "day", "window_index", "window_start", "progression_state", "flow_count", "packet_count", "byte_count", "unique_src", "unique_dst",
+        "failed_conn_ratio", "syn_rate", "time_since_prev_window", "d_packet_rate"))
+
+
+def _number(name: str) -> str:
+    return f"""coalesce(CASE WHEN isfinite(TRY_CAST("{name}" AS DOUBLE)) THEN TRY_CAST("{name}" AS DOUBLE) END, 0)"""
+
+
+UPLOAD_STATES = f"""WITH {RAW}, up AS (SELECT epoch_us(strptime(Timestamp, '%d/%m/%Y %H:%M:%S')) / 1000000.0::DOUBLE AS e, "Src IP" AS s, "Dst IP" AS d,
+  {_number('Tot Fwd Pkts')} + {_number('Tot Bwd Pkts')} AS pk, {_number('TotLen Fwd Pkts')} + {_number('TotLen Bwd Pkts')} AS oc,
+  CASE WHEN TRY_CAST("SYN Flag Count" AS DOUBLE) > 0 THEN 1 ELSE 0 END AS syn, CASE WHEN TRY_CAST("RST Flag Count" AS DOUBLE) > 0 THEN 1 ELSE 0 END AS rst FROM raw),
+o AS (SELECT min(e) AS t0 FROM up),
+w AS (SELECT CAST(floor((e - t0) / 3600) AS BIGINT) AS window_index, min(t0 + floor((e - t0) / 3600) * 3600) AS window_start, count(*) AS n, sum(pk) AS pk, sum(oc) AS oc,
+  count(DISTINCT s) AS us, count(DISTINCT d) AS ud, avg(rst) AS fc, sum(syn) / 3600.0::DOUBLE AS sy FROM up, o GROUP BY 1),
+g AS (SELECT window_index, window_start, lead(window_index) OVER (ORDER BY window_index) AS nx FROM w),
+a AS (SELECT window_index, window_start FROM w UNION ALL SELECT i, window_start + (i - window_index) * 3600 FROM
+  (SELECT window_index, window_start, unnest(generate_series(window_index + 1, nx - 1)) AS i FROM g WHERE nx - window_index > 1 AND nx - window_index <= 61)),
+f AS (SELECT a.window_index, a.window_start, coalesce(n, 0) AS n, coalesce(pk, 0) AS pk, coalesce(oc, 0) AS oc, coalesce(us, 0) AS us, coalesce(ud, 0) AS ud,
+  coalesce(fc, 0) AS fc, coalesce(sy, 0) AS sy FROM a LEFT JOIN w ON w.window_index = a.window_index)
+SELECT 'upload' AS day, {bigs('window_index')}, {doubles('window_start')}, 'NORMAL' AS progression_state, {r6('n', 'flow_count')}, {r6('pk', 'packet_count')},
+ {r6('oc', 'byte_count')}, {r6('us', 'unique_src')}, {r6('ud', 'unique_dst')}, {r6('fc', 'failed_conn_ratio')}, {r6('sy', 'syn_rate')},
+ {r6('coalesce(window_start - lag(window_start) OVER (ORDER BY window_index), 3600)', 'time_since_prev_window')},
+ {r6('coalesce((pk - lag(pk) OVER (ORDER BY window_index)) / 3600.0::DOUBLE, 0)', 'd_packet_rate')} FROM f"""
+
+
 def non_finite(spark, sf):
     got = clean.non_finite_cells(raw(spark, sf))
     return tidy(got.select(F.col("Flow Bytes/s").alias("flow_bytes_s"), F.col("Flow Packets/s").alias("flow_packets_s")))
@@ -267,6 +296,7 @@ ENTRIES = {
     "fixed_cells": (fixed, FIXED),
     "non_finite_cells": (non_finite, NON_FINITE),
     "upload_normalised": (upload, UPLOAD),
+    "upload_windows": (upload_states, UPLOAD_STATES),
     "upload_summary": (summary, SUMMARY),
     "upload_histograms": (histograms, HISTOGRAMS),
     "upload_top_values": (top, TOP),

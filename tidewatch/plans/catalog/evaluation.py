@@ -117,11 +117,14 @@ ANC = f"""{sequences_sql()}, st AS (SELECT day, window_index, split, dominant_fa
 
 def horizons(spark, sf):
     steps = ev.explode_horizon(anchors(spark, sf), ["split"])
-    return tidy(ev.horizon_table(steps, ["split"], 3600.0, 0.6).drop("auroc", "pr_auc", "f1_best"))
+    return tidy(ev.horizon_table(steps, ["split"], 3600.0, 0.6).withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in ("auroc", "pr_auc", "f1_best")}))
 
 
-HORIZONS = f"""WITH {ANC}, {at_sql('split, k', 'st', '0.6::DOUBLE')}, br AS (SELECT split, k, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM st GROUP BY 1, 2)
-SELECT split, {bigs('k', 'tp', 'fp', 'tn', 'fn', 'n', 'positives')}, {doubles(*RATES, 'brier')}, {r6('k * 3600', 'horizon_seconds')} FROM att JOIN br USING (split, k)"""
+HORIZONS = f"""WITH {ANC}, sk AS (SELECT *, split || '/' || k AS gk FROM st), {at_sql('split, k', 'st', '0.6::DOUBLE')}, {rank_sql('gk', 'sk')},
+br AS (SELECT split, k, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM st GROUP BY 1, 2)
+SELECT split, {bigs('k', 'tp', 'fp', 'tn', 'fn', 'n', 'positives')}, {doubles(*RATES, 'brier')}, {r6('k * 3600', 'horizon_seconds')},
+ {r6('coalesce(auroc, -1)', 'auroc')}, {r6('coalesce(pr_auc, -1)', 'pr_auc')}, {r6('coalesce(f1_best, f1)', 'f1_best')}
+FROM att JOIN br USING (split, k) LEFT JOIN rk ON rk.gk = split || '/' || k"""
 
 
 def any_step(spark, sf):

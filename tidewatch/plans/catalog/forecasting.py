@@ -343,9 +343,11 @@ SELECT day, window_index, {bigs('k')}, {doubles('attack_prob')}, {r6('0.35::DOUB
 
 
 def draws(spark, sf):
-    s = view(spark, sf, "scores").select(
-        "day", (F.col("event_id") % 3 + 1).alias("k"), F.col("y_prob").alias("prob"))
-    return tidy(forecast.draw_summary(s, ["day"]))
+    p = F.col("y_prob")
+    dist = F.array((1 - p) * 0.6, (1 - p) * 0.4, p * 0.25, p * 0.45, p * 0.3)
+    s = view(spark, sf, "scores").select("day", (F.col("event_id") % 3 + 1).alias("k"), p.alias("prob"), dist.alias("dist"))
+    got = forecast.draw_summary(s, ["day"], dist="dist")
+    return tidy(got.select("*", *[F.col("state_dist")[i].alias(f"p_{n.lower()}") for i, n in enumerate(STATES)]).drop("state_dist"))
 
 
 def hot(spark, sf):
@@ -531,8 +533,13 @@ SELECT flow_id, day, attack_family, {r6('(flow_start_epoch - t0) / 60', 'minute'
 
 def draws_sql():
     from tidewatch.sources.adapters import duck
-    return f"""WITH s AS ({duck('scores')}) SELECT day, {big('event_id % 3 + 1', 'k')}, {r6('avg(y_prob)', 'attack_prob')}, {r6('stddev_pop(y_prob)', 'attack_std')},
- {r6('quantile_cont(y_prob, 0.025)', 'attack_ci_lo')}, {r6('quantile_cont(y_prob, 0.975)', 'attack_ci_hi')} FROM s GROUP BY 1, 2"""
+    parts = dict(zip(STATES, ("(1 - y_prob) * 0.6", "(1 - y_prob) * 0.4", "y_prob * 0.25", "y_prob * 0.45", "y_prob * 0.3")))
+    names = [f"p_{n.lower()}" for n in STATES]
+    return f"""WITH s AS ({duck('scores')}), d AS (SELECT day, event_id % 3 + 1 AS k, avg(y_prob) AS attack_prob, stddev_pop(y_prob) AS attack_std,
+ quantile_cont(y_prob, 0.025) AS attack_ci_lo, quantile_cont(y_prob, 0.975) AS attack_ci_hi,
+ {', '.join(f'avg({e}::DOUBLE) AS {n}' for n, e in zip(names, parts.values()))} FROM s GROUP BY 1, 2)
+SELECT day, {bigs('k')}, {doubles('attack_prob', 'attack_std', 'attack_ci_lo', 'attack_ci_hi', *names)}, {r6(f"greatest({', '.join(names)})", 'state_prob')},
+ CASE {' '.join(f"WHEN {n} = greatest({', '.join(names)}) THEN '{s}'" for n, s in zip(names, STATES))} END AS progression_state FROM d"""
 
 
 ENTRIES = {

@@ -210,7 +210,7 @@ FROM dg LEFT JOIN o ON o.day = dg.day AND o.window_index = dg.window_index AND o
 def history(spark, sf):
     assigned = hourly(spark, sf)
     nested = graph.nest_nodes(graph.window_graph(assigned, BY, HOSTS)[0], BY)
-    anchors = assigned.groupBy(*BY).agg(F.count(F.lit(1)).alias("n")).where(F.col("window_index") >= SHORT.history - 1)
+    anchors = assigned.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
     got = graph.gather_history(anchors, nested, ["day"], SHORT.history)
     sizes = F.array_join(F.transform("graphs", lambda g: F.size(g).cast("string")), ",")
     heads = F.array_join(F.transform("graphs", lambda g: F.coalesce(F.get(g, F.lit(0))["host"], F.lit("-"))), ",")
@@ -218,7 +218,7 @@ def history(spark, sf):
 
 
 HISTORY = f"""WITH {GRAPH}, ws AS (SELECT day, window_index, count(*) AS c, arg_min(host, (-degree, host)) AS h FROM dg GROUP BY 1, 2),
-an AS (SELECT DISTINCT day, window_index FROM aw WHERE window_index >= {SHORT.history - 1}),
+an AS (SELECT DISTINCT day, window_index FROM aw),
 ex AS (SELECT an.day, an.window_index, u.o, coalesce(c, 0) AS c, coalesce(h, '-') AS h FROM an JOIN (SELECT unnest(generate_series({-(SHORT.history - 1)}, 0)) AS o) u ON true
   LEFT JOIN ws ON ws.day = an.day AND ws.window_index = an.window_index + u.o)
 SELECT day, window_index, string_agg(CAST(c AS VARCHAR), ',' ORDER BY o) AS sizes, string_agg(h, ',' ORDER BY o) AS heads FROM ex GROUP BY 1, 2"""

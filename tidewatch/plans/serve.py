@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from tidewatch.config import BENIGN, FEATURES, Config
 from tidewatch.operators import clean, forecast, phases, rules, sequences
 from tidewatch.plans.corpus import state_windows
-from tidewatch.session import durable
 from tidewatch.sources import contract
 
 
 def upload_windows(upload: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Contract, numbers and windows of one upload (day ``upload``)."""
-    rows = contract.normalise_upload(upload)
+    """Contract, numbers and windows of one upload (day ``upload``); one without a row that has a valid time is rejected."""
+    rows = contract.require_rows(contract.normalise_upload(upload))
     rows = clean.type_identity(clean.coerce_numbers(rows))
     return state_windows(contract.to_engine(rows), cfg.window)
 
@@ -73,7 +72,3 @@ def summary(anchors: DataFrame) -> DataFrame:
 def documents(anchors: DataFrame) -> DataFrame:
     """One JSON text per anchor."""
     return anchors.select("day", "window_index", F.to_json(F.struct(*anchors.columns)).alias("document"))
-
-
-def fitted_table(windows: DataFrame, horizon: int) -> DataFrame:
-    return durable(forecast.transition_table(windows, horizon))
