@@ -233,3 +233,22 @@ def test_toxicity_finds_one_word_in_long_texts(spark):
     cut = clean[int(0.9 * len(clean))]
     assert sum(got[r[0]] > cut for r in test if r[3]) / sum(r[3] for r in test) > 0.95
     assert toxicity.classify(docs.limit(0), labels, ("junk", "toxic")).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><a name="top"><p>Some text of the article here.</p></article>', "Some text of the article here."),
+    ('<article><h2><a name="s1">Head</h2><p>Body of it.</p></article>', "Head\n\nBody of it."),
+    ("<article><p>Hi there all.</p><figure><pre>code x</pre><figcaption>Cap one.</figcaption></figure></article>", "Hi there all.\n\ncode x\n\nCap one."),
+    ('<article><p>Words of it.</p><p>See <a href="x">the whole paper as it was</a>.</p><p>More.</p></article>', "Words of it.\n\nSee the whole paper as it was.\n\nMore."),
+    ('<article><p>Text.</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article>', "Text."),
+    ('<article><p>Text with <a href="x">open link<p>Next paragraph is free.</article>', "Text with open link\n\nNext paragraph is free."),
+    ("<article><p>" + "long words and more of the same, " * 20_000 + "</p></article>", ("long words and more of the same, " * 20_000).strip())])
+def test_html_keeps_an_articles_own_text(page, want):
+    assert html.main_text(page) == want
+
+
+def test_quality_lets_a_long_line_mention_a_notice(spark):
+    prose = " ".join(f"word{i}" for i in range(5000)) + " and the cookies of it."
+    docs = spark.createDataFrame([(1, prose), (2, prose + "\nWe use cookies here."), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert got[1]["kept"] and got[1]["n_bad_lines"] == 0 and got[2]["kept"] and got[2]["n_bad_lines"] == 1 and not got[3]["kept"]

@@ -24,7 +24,7 @@ STOP_WORDS = frozenset((
     "der die das und ist in den von zu mit sich auf für nicht ein eine als auch es an dem "
     "el los las y una por con para se del al lo como más su pero").split())
 SKIPPED_TAGS = frozenset((
-    "nav footer aside form button select textarea menu dialog iframe object embed canvas audio video map figure label fieldset").split())
+    "nav footer aside form button select textarea menu dialog iframe object embed canvas audio video map fieldset").split())
 SKIPPED_NAMES = frozenset((
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation "
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notification alert popup modal overlay subscribe newsletter signup login "
@@ -34,7 +34,7 @@ HINT_TAGS = frozenset("form fieldset".split())
 ARTICLE_NAMES = frozenset("article post content entry story main body".split())
 BLOCK_TAGS = frozenset((
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main blockquote pre header hr "
-    "address body html details summary figcaption center").split()) | SKIPPED_TAGS
+    "address body html details summary figure figcaption center").split()) | SKIPPED_TAGS
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd".split())
 
@@ -45,6 +45,7 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
 _WRAPPER = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]")
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -66,7 +67,8 @@ def blocks_of(page: str, rules: BlockRules = BlockRules()) -> list[tuple[str, fl
     inside: list[int] = []
     stack: list[tuple[str, str]] = []            # open elements that change the place
     text: list[str] = []
-    linked, depth_of_link, breaks = 0, 0, 0
+    linked, breaks = 0, 0
+    in_link, deeper = False, 0                   # inside a link, and how many blocks were opened in it
     places: list[str] = []
 
     def flush() -> None:
@@ -83,7 +85,7 @@ def blocks_of(page: str, rules: BlockRules = BlockRules()) -> list[tuple[str, fl
             text.append(part)
             if not part.isspace():
                 breaks = 0
-            if depth_of_link:
+            if in_link:
                 linked += len(" ".join(entities.unescape(part).split()))
 
     at = 0
@@ -95,7 +97,7 @@ def blocks_of(page: str, rules: BlockRules = BlockRules()) -> list[tuple[str, fl
             continue
         name = name.lower()
         if name == "a":
-            depth_of_link = 0 if found[2] else 1
+            in_link, deeper = not found[2] and bool(_HREF.search(found[4])), 0      # an anchor without a target is no link
             continue
         if name == "br":
             breaks += 1
@@ -104,7 +106,10 @@ def blocks_of(page: str, rules: BlockRules = BlockRules()) -> list[tuple[str, fl
                 flush()
             continue
         if name in BLOCK_TAGS:
+            in_link = in_link and (deeper > 0 or not linked)     # a block after the link's own words: its end tag was left out
             flush()
+            deeper += 0 if name in VOID_TAGS else -1 if found[2] else 1
+            in_link = in_link and deeper >= 0        # a link that isn't closed ends with the block that it began in
             while not found[2] and stack and stack[-1][0] in CLOSED_BY_BLOCK:
                 stack.pop(), places.pop(), inside.pop()
         if found[2]:
@@ -194,9 +199,9 @@ def stop_share(text: str) -> float:
 
 
 def first_label(text: str, links: float, place: str, rules: BlockRules) -> str:
-    """``good``, ``bad``, or ``near`` (long enough, doubtful) or ``short`` for the second pass."""
+    """``good``, ``bad``, ``links`` (a block of links in an article), or ``near`` (long enough, doubtful) or ``short`` for the second pass."""
     if place == "out" or links > rules.links:
-        return "bad"
+        return "links" if place == "article" else "bad"
     if place == "article":
         return "good"
     if "©" in text:
@@ -210,10 +215,17 @@ def first_label(text: str, links: float, place: str, rules: BlockRules) -> str:
 
 
 def labels(blocks: list[tuple[str, float, str]], rules: BlockRules) -> list[bool]:
-    """Which blocks are main text. Ambiguous ones follow the nearest good or bad block on either side: two equal labels
+    """Which blocks are main text. In an article links decide only over short blocks in a run of link blocks and over a short block that is a link. Ambiguous ones follow the nearest good or bad block on either side: two equal labels
     decide; if they differ, a doubtful long block is kept and a short one goes with the nearer, the earlier if both are as near.
     Without a decided block, doubtful long blocks are kept and short ones not."""
     first = [first_label(*b, rules) for b in blocks]
+    # in an article only a list of links goes: neighbours that are links too, or nothing but a short link
+    run = [i for i, label in enumerate(first) if label == "links"]
+    for i in run:
+        listed = i - 1 in run or i + 1 in run
+        alone = len(blocks[i][0]) < rules.short and blocks[i][1] > 0.9
+        first[i] = "links" if listed and len(blocks[i][0]) < rules.long else "bad" if alone else "good"
+    first = ["bad" if label == "links" else label for label in first]
     before, after = [], [None] * len(first)
     last = None
     for i, label in enumerate(first):

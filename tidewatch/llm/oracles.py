@@ -31,7 +31,8 @@ j AS (SELECT rid, line, worded, NOT worded OR (
         AND (marks = '' OR (length(marks) <= nw * {r.max_marks} AND NOT (
               length(regexp_replace(marks, '[^{quality.SEPARATORS}]+', '', 'g')) >= {r.min_separators}
               AND length(regexp_replace(marks, '[^{quality.SEPARATORS}]+', '', 'g')) * {r.words_per_separator} >= nw)))
-        AND NOT regexp_matches(lower(line), '\b(?:{phrases})')) AS good FROM l),
+        AND NOT (regexp_matches(lower(line), '\b(?:{phrases})')
+          AND len(regexp_extract_all(lower(line), '\b(?:{phrases})')) * {r.words_per_phrase} >= nw)) AS good FROM l),
 g AS (SELECT rid, count(*) FILTER (NOT good) AS n_bad_lines, sum(length(line)) AS chars,
         coalesce(sum(length(line)) FILTER (NOT good), 0) AS lost,
         count(*) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS n_dup_lines FROM j GROUP BY rid),

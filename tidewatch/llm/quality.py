@@ -27,8 +27,8 @@ SEPARATORS = "|»›·"
 class LineRules:
     """Punctuation: a line ends in one of ``ENDS`` or is prose of ``prose_chars`` or more with a sentence end inside,
     and has at most ``max_marks`` of ``MARKS`` a word. Navigation: no ``min_separators`` or more of ``SEPARATORS`` with at
-    least one for ``words_per_separator`` words. Boilerplate: none of ``phrases``; with ``words_per_phrase``, fewer than
-    one for so many words, so a long line may mention them. ``max_lost``: share of the characters in lines that a document
+    least one for ``words_per_separator`` words. Boilerplate: of ``phrases`` fewer than one for ``words_per_phrase`` words, so a
+    long line may mention them; None: not one. ``max_lost``: share of the characters in lines that a document
     may lose."""
 
     prose_chars: int = 80
@@ -36,7 +36,7 @@ class LineRules:
     min_separators: int = 3
     words_per_separator: int = 6
     phrases: tuple[str, ...] = BOILERPLATE
-    words_per_phrase: int | None = None
+    words_per_phrase: int | None = 20
     min_words: int = 50
     max_repeat_percent: int = 50
     max_lost: float = 0.3
