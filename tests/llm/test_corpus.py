@@ -151,6 +151,30 @@ def test_near_copies_without_rows(spark):
     assert similar.drop_similar(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("slack", [0, 2, 7])
+def test_proximity_stays_in_a_document(spark, slack):
+    """Many short documents in one segment against all stretches of each; repeated items and words, nulls and no words."""
+    draw = random.Random(slack)
+    texts = [" ".join(draw.choice("alpha beta gamma delta eps zeta".split()) for _ in range(draw.randrange(9))) for _ in range(150)]
+    texts += ["alpha beta gamma", "delta epsilon zeta", None, "", "!!"]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    items = [(1, "gamma delta"), (2, "gamma delta"), (3, "beta beta zeta"), (4, None), (5, ""), (6, "nowhere alpha"), (7, "alpha beta gamma delta eps")]
+    index = decontam.build_index(docs)
+    found = decontam.matches(index, spark.createDataFrame(items, "item_id long, text string"), width=4, slack=slack).collect()
+    places = {(r["segment"], d): i for r in index.where("term IS NULL").collect() for d, i in enumerate(r["ids"])}
+    want = set()
+    for i, t in enumerate(texts):
+        words = (t or "").replace("!", " ").split()
+        for item, text in items:
+            own = (text or "").split()
+            for w in {tuple(own[k:k + 4]) for k in range(max(1, len(own) - 3))} if own else ():
+                for a in range(len(words)):
+                    fit = [b for b in range(a, min(len(words), a + len(w) + slack)) if set(w) <= set(words[a:b + 1])]
+                    if fit and words[a] in w:
+                        want.add((i, a, fit[0] - a + 1, item))
+    assert {(places[(r["segment"], r["doc"])], r["start"], r["length"], r["item_id"]) for r in found} == want and len(want) > 5
+
+
 def test_line_dedup_against_a_loop(spark):
     rows = [(i, f"own {i}\nshared all\n\ntwo only {i % 2}", f"s{i % 12}") for i in range(24)] + [(30, "shared all", None), (30, "shared all", None), (31, None, "s1"), (None, "shared all\nx", "s1")]
     out, removed = lines.strip_boilerplate(table(spark, rows))
@@ -198,7 +222,7 @@ def test_decontamination_against_a_loop(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k[0]) for k, n in want.items() for _ in range(n) if not k[2])
     index = decontam.build_index(docs, segment_bytes=50)
     near = decontam.matches(index, spark.createDataFrame([(9, "one short here")], "item_id long, text string"), slack=2)
-    assert near.count() == 1 and index.select("segment").distinct().count() > 5
+    assert sorted((r["start"], r["length"]) for r in near.collect()) == [(1, 3), (2, 3), (3, 3)] and index.select("segment").distinct().count() > 5
 
 
 def test_decontamination_in_blocks_and_without_items(spark):
@@ -298,7 +322,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = corpus_pipeline.run(spark, sf)
     con = duckdb.connect()
-    item_windows = {w for (t,) in con.execute(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall() for _, w in decontam.windows([t])}
+    item_windows = {w for (t,) in con.execute(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall() for w in decontam.windows([t])}
     rows = {r["doc_id"]: r["clean_text"] for r in quality.judge(docs).where("kept").collect()}
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
     sites, seen = {}, set()

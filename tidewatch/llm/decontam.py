@@ -4,8 +4,8 @@ The index is a table: documents are gathered into segments of a bounded size, an
 where it stands. A phrase lies within one document and so within one segment, so nothing is shuffled to build the index and
 each segment is searched by itself. Places count on through a segment with a gap after each document.
 
-A search joins the terms of the test items with the index, brings the lists of a segment together, and intersects, for each
-phrase, the lists shifted by the term's offset, the shortest first.
+A search joins the terms of the test items with the index and counts them. Where the rarest term of a phrase stands, it brings the
+lists of the segment together and intersects them, shifted by the term's offset, the shortest first.
 """
 
 from __future__ import annotations
@@ -98,13 +98,14 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return store(rows.mapInArrow(run, schema), "postings")
 
 
-def windows(items: list[tuple], width: int = WINDOW) -> list[tuple[int, tuple[bytes, ...]]]:
-    """``(item number, words)`` for every ``width`` consecutive words of an item, or its only words if there are fewer."""
-    out = []
-    for number, text in enumerate(items):
-        words = words_of((text or "").encode())
+def windows(texts: list[str], width: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
+    """Every ``width`` consecutive words of a text, or its only words if there are fewer, with the numbers of the texts that have them."""
+    out: dict[tuple[bytes, ...], list[int]] = {}
+    for number, text in enumerate(texts):
+        words = words_of(text.encode())
         if words:
-            out += {(number, tuple(words[i:i + width])) for i in range(max(1, len(words) - width + 1))}
+            for phrase in {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}:
+                out.setdefault(phrase, []).append(number)
     return out
 
 
@@ -126,27 +127,48 @@ def phrase_starts(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...]) ->
     return found
 
 
-def near_places(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], reach: int) -> np.ndarray:
-    """Places of the rarest word of ``phrase`` that have every other word within ``reach`` places."""
+def near_spans(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], span: int, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the shortest stretches of a document, of ``span`` places at most, that hold all words of ``phrase``.
+
+    ``firsts`` are the documents' first places. Each stretch begins with one of the words and has each of them; one for each such
+    begin. A stretch has the rarest word, so only places around that one's are looked at.
+    """
     terms = sorted(set(phrase), key=lambda t: len(lists.get(t, ())))
+    none = np.empty(0, dtype=np.int64)
     if any(t not in lists for t in terms):
-        return np.empty(0, dtype=np.int64)
-    found = lists[terms[0]].astype(np.int64)
-    for t in terms[1:]:
-        spot = np.searchsorted(lists[t], found - reach)
-        found = found[(spot < len(lists[t])) & (lists[t][np.minimum(spot, len(lists[t]) - 1)] <= found + reach)]
-    return found
-
-
-def _block_matches(index: DataFrame, ids: list, phrases: list[tuple[int, tuple[bytes, ...]]], id_kind: str, slack: int | None) -> DataFrame:
+        return none, none
+    rare = lists[terms[0]].astype(np.int64)
+    starts = []
+    for t in terms:                               # begins: places of any word at most ``span`` before a place of the rarest one
+        own = lists[t].astype(np.int64)
+        next_rare = np.searchsorted(rare, own)
+        near = (next_rare < len(rare)) & (rare[np.minimum(next_rare, len(rare) - 1)] < own + span)
+        starts.append(own[near])
+    starts = np.unique(np.concatenate(starts))
+    end = starts.copy()
+    for t in terms:
+        own = lists[t].astype(np.int64)
+        at = np.searchsorted(own, starts)
+        end = np.where(at < len(own), np.maximum(end, own[np.minimum(at, len(own) - 1)]), np.iinfo(np.int64).max)
+        starts, end = starts[end < starts + span], end[end < starts + span]
+    same = np.searchsorted(firsts, starts, side="right") == np.searchsorted(firsts, end, side="right")
+    return starts[same], (end - starts + 1)[same]
+
+
+def _block_matches(index: DataFrame, texts: list, width: int, slack: int | None) -> DataFrame:
+    """``segment``, ``doc``, ``start``, ``length`` and ``text`` (number in ``texts``) of what is found."""
     spark = index.sparkSession
-    vocabulary = sorted({w for _, p in phrases for w in p})
+    phrases = windows(texts, width)
+    vocabulary = sorted({w for p in phrases for w in p})
     # stored, so that Spark knows its size and needn't shuffle the index if the block's vocabulary is small
     terms = store(spark.createDataFrame([(None,), *[(bytearray(t),) for t in vocabulary]], "term binary").coalesce(1), "test-terms")
-    rows = index.join(terms, index["term"].eqNullSafe(terms["term"]), "left_semi")
-    by_phrase: dict[tuple[bytes, ...], list[int]] = {}
-    for number, phrase in phrases:
-        by_phrase.setdefault(phrase, []).append(number)
+    rows = index.join(terms, index["term"].eqNullSafe(terms["term"]), "left_semi").select("segment", "term", "places")
+    counts = {bytes(r["term"]): r["n"] for r in rows.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum(F.size("places")).alias("n")).collect()}
+    # a phrase is looked for only where its rarest term over the whole index stands; one with a term that is nowhere, not at all
+    by_rarest: dict[bytes, list[tuple[bytes, ...]]] = {}
+    for phrase in phrases:
+        if all(t in counts for t in phrase):
+            by_rarest.setdefault(min(phrase, key=lambda t: (counts[t], t)), []).append(phrase)
 
     def search(table: pa.Table) -> pa.Table:
         lists, firsts = {}, None
@@ -156,46 +178,47 @@ def _block_matches(index: DataFrame, ids: list, phrases: list[tuple[int, tuple[b
             else:
                 lists[term] = places.to_numpy()
         doc, start, length, item = [], [], [], []
-        for phrase, numbers in by_phrase.items():
-            if slack is None:
-                found, size = phrase_starts(lists, phrase), len(phrase)
-            else:
-                found, size = near_places(lists, phrase, len(phrase) - 1 + slack), 1
-            if len(found):
-                where = np.searchsorted(firsts, found, side="right") - 1
-                for number in numbers:
-                    doc.append(where), start.append(found - firsts[where])
-                    length.append(np.full(len(found), size)), item.append(np.full(len(found), number))
+        for term in lists.keys() & by_rarest.keys():
+            for phrase in by_rarest[term]:
+                if slack is None:
+                    found = phrase_starts(lists, phrase)
+                    size = np.full(len(found), len(phrase))
+                else:
+                    found, size = near_spans(lists, phrase, len(phrase) + slack, firsts)
+                if len(found):
+                    where = np.searchsorted(firsts, found, side="right") - 1
+                    for number in phrases[phrase]:
+                        doc.append(where), start.append(found - firsts[where]), length.append(size)
+                        item.append(np.full(len(found), number))
         join = lambda x: np.concatenate(x) if x else np.empty(0, dtype=np.int64)
         doc, start, length, item = join(doc), join(start), join(length), join(item)
         return pa.table({
             "segment": pa.array([table.column("segment")[0].as_py()] * len(doc), pa.string()), "doc": pa.array(doc, pa.int32()),
-            "start": pa.array(start, pa.int32()), "length": pa.array(length, pa.int32()), "item": pa.array(item, pa.int32())})
+            "start": pa.array(start, pa.int32()), "length": pa.array(length, pa.int32()), "text": pa.array(item, pa.int32())})
 
-    found = rows.select("segment", "term", "places").groupBy("segment").applyInArrow(
-        search, "segment string, doc int, start int, length int, item int")
-    numbered = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {id_kind}")
-    return found.join(numbered, "item").select("segment", "doc", "start", "length", "item_id")
+    return rows.groupBy("segment").applyInArrow(search, "segment string, doc int, start int, length int, text int")
 
 
 def matches(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WINDOW,
             slack: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Occurrences of the windows of ``items``: ``segment``, ``doc`` (number in it), ``start``, ``length``, ``item_id``.
 
-    ``slack=None`` finds exact phrases. With a number, it finds places of a window's rarest word that have all its other
-    words within ``width - 1 + slack`` places in either direction in the same document (``length`` 1).
-    Items go to the tasks in blocks of about ``block_bytes`` of text, dealt by a hash of their text.
+    ``slack=None`` finds exact phrases. With a number, it finds the stretches of one document that hold all words of a window, in
+    any order, within ``slack`` places more than the window has: for each begin the shortest. Distinct texts of items go to the tasks
+    in blocks of about ``block_bytes``, dealt by a hash; items join the result by their text, so texts that many items share count once.
     """
-    kind = dict(items.dtypes)[item_id]
-    rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = items.select(F.col(item_id).alias("item_id"), F.md5(text).alias("digest"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = store(rows.select("digest", "text").dropDuplicates(["digest"]), "test-texts")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     out = None
     for b in range(blocks):
-        got = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        one = _block_matches(index, [r["item_id"] for r in got], windows([r["text"] for r in got], width), kind, slack)
+        got = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        numbered = items.sparkSession.createDataFrame([(i, r["digest"]) for i, r in enumerate(got)], "number int, digest string")
+        one = _block_matches(index, [r["text"] for r in got], width, slack)
+        one = one.join(numbered, one["text"] == numbered["number"]).select("segment", "doc", "start", "length", "digest")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.join(rows.select("item_id", "digest").distinct(), "digest").select("segment", "doc", "start", "length", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_column: str = "doc_id", text: str = "text",
