@@ -6,13 +6,17 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidewatch.config import STATES
-from tidewatch.operators import forecast
-from tidewatch.plans.catalog.common import GRAIN, HOURLY, SHORT, big, bigs, doubles, filled_sql, tidy
+from tidewatch.config import FEATURES, STATES
+from tidewatch.operators import explain, forecast
+from tidewatch.operators.sequences import serving_sequences
+from tidewatch.plans.catalog.common import (
+    GRAIN, HOURLY, SHORT, big, bigs, doubles, filled_sql, progression_sql, r6, tidy, time_sql, windows_sql,
+)
 from tidewatch.plans.catalog.forecasting import STRATIFIED, TRANS, split_windows, stratified_sql
 from tidewatch.plans.catalog.windows import CLOSED_CTES, sessions
+from tidewatch.plans.corpus import state_windows
 from tidewatch.session import stored
-from tidewatch.sources.adapters import duck
+from tidewatch.sources.adapters import duck, view
 from tidewatch.streaming import live
 from tidewatch.streaming import windows as stream
 
@@ -91,7 +95,25 @@ LATEST = f"""WITH {LIVE} SELECT day AS session_id, {bigs('window_index')}, alert
 QUALIFY row_number() OVER (PARTITION BY day ORDER BY window_index DESC) <= {live.KEPT}"""
 
 
+WEIGHTS = {f: ((i * 7) % 11 - 5) / 10.0 for i, f in enumerate(FEATURES)}
+
+
+def explained(spark, sf):
+    """The three features that weigh most in each anchor, by a linear explainer."""
+    windows = state_windows(view(spark, sf, "flows"), HOURLY)
+    return tidy(explain.explanations(serving_sequences(windows, SHORT), explain.LinearExplainer(WEIGHTS)))
+
+
+EXPLAINED = f"""WITH {windows_sql()}, {filled_sql()}, {progression_sql()}, {time_sql()},
+an AS (SELECT *, window_index - lag(window_index, {L - 1}) OVER (PARTITION BY day ORDER BY window_index) AS back FROM timed),
+ex AS (SELECT day, window_index, unnest([{', '.join(f"{{'i': {i}, 'f': '{f}', 'v': CAST({f} AS DOUBLE), 'w': {WEIGHTS[f]}::DOUBLE}}" for i, f in enumerate(FEATURES))}]) AS e FROM an WHERE back = {L - 1}),
+co AS (SELECT day, window_index, e.i, e.f, e.v, round(e.w * sign(e.v) * ln(1 + abs(e.v)), 6) AS c FROM ex)
+SELECT day, window_index, {big('row_number() OVER (PARTITION BY day, window_index ORDER BY abs(c) DESC, i)', 'rank')}, f AS feature, {r6('v', 'value')}, {r6('c', 'contribution')}
+FROM co QUALIFY row_number() OVER (PARTITION BY day, window_index ORDER BY abs(c) DESC, i) <= 3"""
+
+
 ENTRIES = {
+    "forecast_explanations": (explained, EXPLAINED),
     "stream_forecasts": (forecasts, FORECASTS),
     "stream_session_counters": (counters, COUNTERS),
     "stream_forecasts_latest": (latest, LATEST),

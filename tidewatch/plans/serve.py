@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.config import BENIGN, FEATURES, Config
+from tidewatch.config import BENIGN, FEATURES, Config, WindowConfig
 from tidewatch.operators import clean, forecast, phases, rules, sequences
 from tidewatch.plans.corpus import state_windows
 from tidewatch.sources import contract
 
 
-def upload_windows(upload: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Contract, numbers and windows of one upload (day ``upload``); one without a row that has a valid time is rejected."""
+def upload_windows(upload: DataFrame, cfg: Config = Config(), make_windows: Callable[[DataFrame, WindowConfig], DataFrame] = state_windows) -> DataFrame:
+    """Contract, numbers and windows of one upload (day ``upload``); one without a row that has a valid time is rejected.
+
+    ``make_windows`` turns the cleaned flows into windows; a user's own may add features or another cut of time.
+    """
     rows = contract.require_rows(contract.normalise_upload(upload))
     rows = clean.type_identity(clean.coerce_numbers(rows))
-    return state_windows(contract.to_engine(rows), cfg.window)
+    return make_windows(contract.to_engine(rows), cfg.window)
 
 
 STEP_FIELDS = ["horizon_seconds", "attack_prob", "progression_state", "state_prob", "attck_tactic", "attck_techniques", "attck_phase",
