@@ -252,3 +252,21 @@ def test_quality_lets_a_long_line_mention_a_notice(spark):
     docs = spark.createDataFrame([(1, prose), (2, prose + "\nWe use cookies here."), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert got[1]["kept"] and got[1]["n_bad_lines"] == 0 and got[2]["kept"] and got[2]["n_bad_lines"] == 1 and not got[3]["kept"]
+
+
+def test_licenses_under_any_title_and_holder_line(spark):
+    """Every heading of a whole text, the holder in the line after the year, long texts, no rows."""
+    by_name = {name: text for name, text in licenses.KNOWN if len(text) > 300 and not text.startswith(("MIT", "The MIT", "BSD"))}
+    heads = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+             "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["The BSD 3-Clause License", "New BSD License"], "Zlib": ["zlib License"]}
+    rows = []
+    for name, own in heads.items():
+        for head in own:
+            for notice in ("", "Copyright (c) 2020\nJane Q. Doe <jane@example.org>\n\n", "(c) 2019-2021, ACME\n\n", "Copyright 2001, 2002\nExample Authors\n\n"):
+                rows.append((len(rows), f"{head}\n\n{notice}{by_name[name]}", name))
+                rows.append((len(rows), f"{notice}{head}\n\n{by_name[name]}", name))
+    rows += [(len(rows), "MIT License", None), (len(rows) + 1, "a line of text\n" * 40_000 + "SPDX-License-Identifier: MIT", None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows], "doc_id long, text string, mark string, digest int")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, licenses.known_digests(spark)).collect()}
+    assert [(i, got[i]["license"]) for i, _, _ in rows] == [(i, name) for i, _, name in rows]
+    assert got[len(rows) - 1]["notices"] == "MIT" and licenses.scan(docs.limit(0), licenses.known_digests(spark)).count() == 0

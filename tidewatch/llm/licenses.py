@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import let, text_key
+from tidewatch.llm.common import let, store, text_key
 
 # Public licence texts and notices, as published.
 _MIT_BODY = (
@@ -85,48 +85,74 @@ _YEAR = r"[\s,:<\[{(-]*([0-9]{4}|year|yyyy)"
 COPYRIGHT = (
     r"^[^a-z0-9©(]*(©|all rights reserved|[^a-z0-9©]*all rights reserved|\(c\)[\s,:]*copyright\b|\(c\)" + _YEAR
     + r"|\(?copyright[\s,:-]*(\(c\)|©|by\b)|copyright" + _YEAR + r"|copyright:?\s+" + other_word(NO_HOLDERS) + ")")
+NO_HOLDER = r"^[^a-z0-9©(]*(copyright|©|\(c\))[\s,:()c©-]*[0-9]{4}[\s,.0-9-]*$"
+"""A notice that ends with its years; the holder may stand in the next line."""
+HOLDER = r"^[^a-z0-9]*[a-z0-9][^\s]*(\s+[^\s]+){0,7}\s*$"
+NOT_HOLDER = r"^[^a-z0-9]*(permission|redistribution|licensed|released|this|the|all|everyone|you|in|for|use|any|no|under|spdx|mit|isc|bsd|zlib)\b"
+# Headings that licence texts are published under, in canonical form.
+TITLES = (
+    "mit license", "the mit license", "mit license mit", "the mit license mit", "isc license", "the isc license", "isc license isc", "the isc license isc",
+    "bsd zero clause license", "zero clause bsd", "zero clause bsd license", "bsd 2 clause license", "the bsd 2 clause license", "simplified bsd license",
+    "bsd 3 clause license", "the bsd 3 clause license", "new bsd license", "the new bsd license", "modified bsd license", "zlib license", "the zlib license",
+)
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’„«»–—…·]+"
 
 
-def canonical_line(line: Column) -> Column:
-    """Lower case, one space for punctuation and blanks, equivalent spellings; a copyright line becomes empty."""
+def canonical_line(line: Column, before: Column) -> Column:
+    """Lower case, one space for punctuation and blanks, equivalent spellings; a copyright line becomes empty, and so does a short line after
+    one that names no holder: there it stands."""
     out = F.trim(F.regexp_replace(line, PUNCTUATION, " "))
     for other, usual in SPELLINGS:
         out = F.replace(out, F.lit(other), F.lit(usual))
-    return F.when(line.rlike(COPYRIGHT), F.lit("")).otherwise(out)
+    holder = before.rlike(NO_HOLDER) & line.rlike(HOLDER) & ~line.rlike(NOT_HOLDER)
+    return F.when(line.rlike(COPYRIGHT) | F.coalesce(holder, F.lit(False)), F.lit("")).otherwise(out)
 
 
 def canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), "\n"), canonical_line), lambda line: line != "")
+    return let(F.split(F.lower(text), "\n"), lambda lines: F.filter(
+        F.transform(lines, lambda line, i: canonical_line(line, F.get(lines, i - 1))), lambda line: line != ""))
+
+
+def _digest(lines: Column) -> Column:
+    """SHA-256 of the canonical text without a licence's title in its first line."""
+    titled = F.get(lines, F.lit(0)).isin(*TITLES)
+    return F.sha2(F.array_join(F.when(titled, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines), " "), 256)
+
+
+def _line_mark(line: Column) -> Column:
+    """Two 64-bit hashes of a canonical line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """``digest`` and ``license`` of the known texts; one licence a digest, the least name if texts are equal.
+    """``digest``, ``license`` and ``mark`` (of the text as a line) of the known texts; one licence a digest, the least name if texts are equal.
 
     ``known`` is a list of ``(license, text)`` or a table with these columns.
     """
     rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
-    rows = rows.select("license", F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows.select("license", canonical_lines(F.col("text")).alias("lines")).select(
+        "license", _digest(F.col("lines")).alias("digest"), _line_mark(F.array_join("lines", " ")).alias("mark"))
+    return rows.groupBy("digest", "mark").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``digest`` of the canonical text, its ``license`` or null, and ``notices``: the licences whose
     whole notice fills a line, sorted and comma-joined, empty if none.
 
-    A null text counts as empty and has the digest of no text. Rows equal in id and text give equal results. ``known`` is
+    A null text counts as empty and has the digest of no text, which a title alone has too. Rows equal in id and text give equal results.
+    Extra columns aren't looked at, and texts are read whole. ``known`` is
     joined by hash; Spark broadcasts it if it is small.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), text_key(text).alias("key"), let(
         canonical_lines(F.coalesce(F.col(text), F.lit(""))), lambda lines: F.struct(
-            F.sha2(F.array_join(lines, " "), 256).alias("whole"),
-            F.array_distinct(F.transform(lines, lambda line: F.sha2(line, 256))).alias("lines"))).alias("d"))
-    rows = rows.select("doc_id", "key", F.col("d.whole").alias("digest"), F.col("d.lines").alias("lines"))
-    names = known.select(F.col("digest").alias("line"), F.col("license").alias("notice"))
+            _digest(lines).alias("whole"), F.array_distinct(F.transform(lines, _line_mark)).alias("marks"))).alias("d"))
+    # stored: texts are put in canonical form once, and what is left of them is read by both joins
+    rows = store(rows.select(F.struct("doc_id", "key").alias("row"), F.col("d.whole").alias("digest"), F.col("d.marks").alias("marks")), "license-digests")
+    names = known.groupBy("mark").agg(F.min("license").alias("notice"))
     notices = (
-        rows.select("doc_id", "key", F.explode("lines").alias("line")).join(names, "line")
-        .groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("notice")).alias("notices"))
-        .select(F.struct("doc_id", "key").alias("row"), "notices"))
-    named = rows.select("doc_id", F.struct("doc_id", "key").alias("row"), "digest").join(known, "digest", "left")
+        rows.select("row", F.explode("marks").alias("mark")).join(names, "mark")
+        .groupBy("row").agg(F.array_sort(F.collect_set("notice")).alias("notices")))
+    whole = known.groupBy("digest").agg(F.min("license").alias("license"))
+    named = rows.select("row", "digest").join(whole, "digest", "left")
     return named.join(notices, "row", "left").select(
-        "doc_id", "digest", "license", F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"))
+        F.col("row.doc_id").alias("doc_id"), "digest", "license", F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"))

@@ -99,20 +99,21 @@ def _licenses() -> str:
     for other, usual in licenses.SPELLINGS:
         line = f"replace({line}, '{other}', '{usual}')"
     known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.KNOWN)
-    canonical = f"CASE WHEN regexp_matches(line, '{licenses.COPYRIGHT}') THEN '' ELSE {line} END"
+    holder = f"regexp_matches(prev, '{licenses.NO_HOLDER}') AND regexp_matches(line, '{licenses.HOLDER}') AND NOT regexp_matches(line, '{licenses.NOT_HOLDER}')"
+    canonical = f"CASE WHEN regexp_matches(line, '{licenses.COPYRIGHT}') OR coalesce({holder}, false) THEN '' ELSE {line} END"
+    titles = ", ".join(f"'{t}'" for t in licenses.TITLES)
+    lines = "SELECT {0}, unnest(l) AS line, unnest(range(len(l))) AS i, unnest([NULL] || l[:-2]) AS prev FROM (SELECT {0}, string_split(lower(text), chr(10)) AS l FROM {1})"
+    whole = f"sha256(array_to_string(CASE WHEN list_contains([{titles}], cs[1]) THEN cs[2:] ELSE cs END, ' '))"
     return rf"""
-WITH k AS (SELECT digest, min(license) AS license FROM (
-       SELECT license, sha256(string_agg(c, ' ' ORDER BY i)) AS digest
-       FROM (SELECT rid, license, i, {canonical} AS c FROM (
-               SELECT rid, license, unnest(l) AS line, unnest(range(len(l))) AS i
-               FROM (SELECT row_number() OVER () AS rid, license, string_split(lower(text), chr(10)) AS l FROM (VALUES {known}) v(license, text))))
-       WHERE c <> '' GROUP BY rid, license) GROUP BY digest),
+WITH kl AS (SELECT rid, license, list(c ORDER BY i) AS cs FROM (SELECT rid, license, i, {canonical} AS c FROM (
+       {lines.format('rid, license', f"(SELECT row_number() OVER () AS rid, license, text FROM (VALUES {known}) v(license, text))")})) WHERE c <> '' GROUP BY rid, license),
+k AS (SELECT digest, min(license) AS license FROM (SELECT license, {whole} AS digest FROM kl) GROUP BY digest),
+kn AS (SELECT c, min(license) AS license FROM (SELECT license, array_to_string(cs, ' ') AS c FROM kl) GROUP BY c),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT rid, i, {canonical} AS c FROM (
-        SELECT rid, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT rid, string_split(lower(text), chr(10)) AS l FROM d))),
-w AS (SELECT rid, sha256(string_agg(c, ' ' ORDER BY i)) AS digest FROM l WHERE c <> '' GROUP BY rid),
+l AS (SELECT rid, i, {canonical} AS c FROM ({lines.format('rid', 'd')})),
+w AS (SELECT rid, {whole} AS digest FROM (SELECT rid, list(c ORDER BY i) AS cs FROM l WHERE c <> '' GROUP BY rid)),
 n AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS notices FROM (
-        SELECT DISTINCT rid, license FROM l JOIN k ON sha256(l.c) = k.digest WHERE c <> '') GROUP BY rid)
+        SELECT DISTINCT rid, license FROM l JOIN kn USING (c) WHERE c <> '') GROUP BY rid)
 SELECT doc_id, coalesce(w.digest, sha256('')) AS digest, license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN w USING (rid) LEFT JOIN k ON k.digest = coalesce(w.digest, sha256('')) LEFT JOIN n USING (rid)"""
 
