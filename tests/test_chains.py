@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import grouped
-from tidewatch.operators import evaluate, forecast, graph, labels
+from tidewatch.operators import evaluate, explain, forecast, graph, labels
 from tidewatch.operators import windows as ops
 from tidewatch.plans import capture, serve
 from tidewatch.sources import contract
@@ -147,3 +147,28 @@ def test_windows_leave_the_flows_where_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "BroadcastHashJoin" in plan and "hashpartitioning(day" not in plan
+
+
+def test_explainers_declare_their_own_columns(spark):
+    class Extremes:
+        """The span of each feature over the history, none for flat ones."""
+
+        columns = "feature string, low double, high double"
+
+        def explain(self, history):
+            for name, column in zip(("a", "b"), zip(*history)):
+                if min(column) < max(column):
+                    yield name, min(column), max(column)
+
+    anchors = spark.createDataFrame([("s", 4, [[1.0, 2.0], [3.0, 2.0]]), ("s", 5, [[0.0, 0.0], [0.0, 0.0]])], "session_id string, window_index bigint, x array<array<double>>")
+    got = explain.explanations(anchors, Extremes(), ("session_id", "window_index"))
+    assert got.columns == ["session_id", "window_index", "feature", "low", "high"] and dict(got.dtypes)["window_index"] == "bigint"
+    assert [tuple(r) for r in got.collect()] == [("s", 4, "a", 1.0, 3.0)]
+
+
+def test_upload_with_a_users_window_factory(spark):
+    names = [c for c in contract.REQUIRED if c != "flow_start_epoch"]
+    rows = spark.createDataFrame([tuple("1" for _ in names) + (t,) for t in ("05/07/2017 10:00:00", "05/07/2017 10:00:30")],
+                                 ", ".join(f"`{n}` string" for n in [*names, "Timestamp"]))
+    got = serve.upload_windows(rows, make_windows=lambda flows, cfg: flows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.lit(cfg.window_seconds).alias("w")))
+    assert [tuple(r) for r in got.collect()] == [("upload", 2, 10.0)]
