@@ -83,7 +83,7 @@ def test_time_text_does_not_depend_on_the_session_zone(spark):
 def test_upload_without_a_valid_time_is_rejected(spark):
     names = [c for c in contract.REQUIRED if c != "flow_start_epoch"]
     rows = spark.createDataFrame([tuple("1" for _ in names) + ("no time",)], ", ".join(f"`{n}` string" for n in [*names, "Timestamp"]))
-    with pytest.raises(contract.BadUpload):
+    with pytest.raises(contract.ContractError):
         serve.upload_windows(rows)
 
 

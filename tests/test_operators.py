@@ -203,11 +203,11 @@ def test_contract_headers_and_bad_upload(spark):
     assert got["ok"] and got["labelled"] and got["time_axis_from_text"] and got["extra"] == ["weird"]
     assert got["aliased"]["dst ip"] == "Destination IP" and got["flags"] == {"flag_true_syn": "SYN Flag Count"}
     assert contract.match_columns(["foo"])["required_missing"] == list(contract.REQUIRED)
-    with pytest.raises(contract.BadUpload):
+    with pytest.raises(contract.ContractError):
         contract.normalise_upload(rows(spark, [(1, 2)], "foo int, bar int"))
     head = ", ".join(f"`{c}` string" for c in contract.REQUIRED)
     blank = rows(spark, [tuple("x" for _ in contract.REQUIRED)], head)
-    with pytest.raises(contract.BadUpload):
+    with pytest.raises(contract.ContractError):
         contract.require_rows(contract.normalise_upload(blank))
     assert contract.match_report(spark, ["Src IP"]).where("item = 'alias'").first()["column"] == "Source IP"
 

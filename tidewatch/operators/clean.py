@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import BENIGN, DAY_SPLIT
 from tidewatch.functions.columns import attack_family, day_name, finite
 from tidewatch.functions.grouped import quantiles
-from tidewatch.sources.contract import FLAG_COUNTS, FLOW_NUMBERS, PACKET_NUMBERS, RATE_COLUMNS, BadUpload, name, trim_names
+from tidewatch.sources.contract import FLAG_COUNTS, FLOW_NUMBERS, PACKET_NUMBERS, RATE_COLUMNS, ContractError, name, trim_names
 
 NUMBERS = FLOW_NUMBERS + PACKET_NUMBERS + tuple(FLAG_COUNTS)
 
@@ -19,7 +19,7 @@ NUMBERS = FLOW_NUMBERS + PACKET_NUMBERS + tuple(FLAG_COUNTS)
 def label_flows(df: DataFrame) -> DataFrame:
     """Label text -> ``attack_family`` and ``is_attack``; no label means benign."""
     if "Label" not in df.columns:
-        raise BadUpload("Label column missing: run the label transfer first")
+        raise ContractError("Label column missing: run the label transfer first")
     family = attack_family(F.col("Label"))
     return df.withColumns({
         "Label": F.trim(F.coalesce(F.col("Label"), F.lit(BENIGN))),
@@ -84,7 +84,7 @@ def clean_flows(df: DataFrame, clip: bool = True, method: str = "exact") -> Data
     """Labels, day, valid time, numbers, clipped rates and typed identity columns."""
     df = assign_day(label_flows(trim_names(df)))
     if "flow_start_epoch" not in df.columns:
-        raise BadUpload("flow_start_epoch column missing")
+        raise ContractError("flow_start_epoch column missing")
     df = df.withColumn("flow_start_epoch", finite(F.col("flow_start_epoch"))).where(F.col("flow_start_epoch").isNotNull())
     df = coerce_numbers(df)
     df = winsorise(df, method=method) if clip else df
