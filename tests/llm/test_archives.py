@@ -284,3 +284,26 @@ def test_best_rows_keep_the_first_of_each_group():
     for g in range(3):
         want = sorted((-s, i) for own, s, i in offers if own == g)[:4]
         assert [(-s, i) for own, s, i in zip(group, score, ids) if own == g] == want
+
+
+# --- odd tables of earlier operators
+
+def test_mix_of_a_table_that_has_its_columns_already(spark):
+    from tidewatch.llm import mixing
+
+    docs = spark.createDataFrame([(i, "t", "a" if i % 3 else "b", 1, 7, "x") for i in range(90)],
+                                 "doc_id long, text string, source string, n_chars long, replica int, shuffle_key string")
+    got = mixing.mix(docs)
+    assert got.columns[:6] == docs.columns and len(set(got.columns)) == len(got.columns) and {r["replica"] for r in got.collect()} <= {7}
+
+
+def test_url_verdicts_of_odd_pages(spark):
+    from tidewatch.llm import urls
+
+    model = urls.fit(urls.labelled_table(spark))
+    schema = "page_id long, url string, host string, rule string"
+    rows = [(1, None), (2, ""), (3, "http://x.org/" + "a" * 100_000), (3, "http://x.org/" + "a" * 100_000), (None, "https://sub.example.org/es/1"), (4, "no scheme")]
+    got = urls.judge(spark.createDataFrame([(i, u, "h", "r") for i, u in rows], schema), model).collect()
+    assert len(got) == len(rows) and all(r["verdict"] in ("allow", "block") for r in got)
+    assert [r["rule"] for r in got if r["page_id"] is None] == ["example.org/es/"] and len({r["verdict"] for r in got if r["page_id"] == 3}) == 1
+    assert urls.judge(spark.createDataFrame([], schema), model).count() == 0

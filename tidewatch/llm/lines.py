@@ -55,7 +55,7 @@ def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_column: st
 
     A line with a word that stands on ``min_sites`` distinct sites goes, but for its first occurrence by id, text hash and
     place (null ids last). Lines without a word stay. No row goes: a text that loses all its lines becomes empty, a null
-    text stays null. Rows that are equal in id and text keep or lose the same lines.
+    text stays null. Rows that are equal in id and text keep or lose the same lines. Texts are read whole; extra columns stay as they are.
     """
     lines = occurrences(docs, id_column, text, site)
     bad = boilerplate(lines, min_sites)

@@ -275,7 +275,8 @@ def score(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id", text:
     """Per row: ``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities).
 
     A null or empty text is one end token. A row without an id is held out. Repeated rows count as often as they stand
-    there. Without training documents all counts are zero and every token has the uniform probability.
+    there. Without training documents all counts are zero and every token has the uniform probability. Texts are read whole; extra
+    columns aren't looked at.
     """
     cut = segments(docs, id_column, text)
     spark = docs.sparkSession
