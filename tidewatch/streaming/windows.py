@@ -41,10 +41,10 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
                    grace_seconds: float = GRACE_SECONDS, size_step: int | None = SIZE_STEP) -> DataFrame:
     """One row per (session, window) once the watermark has passed its end; works on a batch table too.
 
-    Each flow is counted under five kinds of value; three levels of event-time
-    aggregation turn value counts into distinct counts, fan-out and entropies
-    without holding a window's flows. ``size_step`` rounds the log sizes behind ``flowsize_entropy`` to its inverse, which
-    bounds the state of a live window; None counts them exactly, as the batch features do.
+    The volume sums are one event-time aggregate of the flows. Beside it three narrow levels turn counts of pairs, ports, sizes and
+    families into distinct counts, fan-out and entropies without holding a window's flows; the last level takes both. ``size_step``
+    rounds the log sizes behind ``flowsize_entropy`` to its inverse, which bounds the state of a live window; None counts them exactly,
+    as the batch features do.
     """
     w = float(cfg.window_seconds)
     have = set(flows.columns)
@@ -57,43 +57,46 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
     if flows.isStreaming:
         rows = rows.withWatermark("event_time", f"{grace_seconds} seconds")
     size = F.log1p(num("fwd_bytes") + num("bwd_bytes"))
-    size = (size if size_step is None else F.round(size * size_step) / size_step).cast("string")
-    blank = F.lit("")
+    size = size if size_step is None else F.round(size * size_step) / size_step
 
-    def kind(name, v1, v2=blank):
-        return F.struct(F.lit(name).alias("kind"), v1.cast("string").alias("v1"), v2.cast("string").alias("v2"))
+    def kind(name, v1=None, v2=None, v=None):
+        text = [(F.lit(None) if c is None else F.col(c)).cast("string").alias(a) for a, c in (("v1", v1), ("v2", v2))]
+        return F.struct(F.lit(name).alias("kind"), *text, (F.lit(None) if v is None else v).cast("double").alias("v"))
 
-    kinds = [kind("src", F.col("src_ip"), F.col("dst_ip")), kind("dst", F.col("dst_ip"), F.col("src_ip")),
-             kind("port", F.col("dst_port")), kind("size", size), kind("flow", blank)]
+    kinds = [kind("pair", "src_ip", "dst_ip"), kind("port", "dst_port"), kind("size", v=size)]
     if "attack_family" in have:
-        kinds.append(F.when(num("is_attack") == 1, kind("fam", F.col("attack_family"))))
+        kinds.append(F.when(num("is_attack") == 1, kind("fam", "attack_family")))
     kinds = F.array_compact(F.array(*kinds))
+    session = F.coalesce(F.col("session_id"), F.lit("default")) if "session_id" in have else F.lit("default")
+    used = dict.fromkeys(SUMS + SQUARES + MEANS + TOPS)
+    volume = ["event_time", "protocol", *[num(c).alias(c) for c in used]]
     if MARKER in have:
         # a marker only moves the watermark. The event time is named here so that no filter on it is moved below the watermark
-        kinds = F.filter(kinds, lambda x: ~F.col(MARKER) & F.col("event_time").isNotNull())
-    rows = rows.select(
-        F.coalesce(F.col("session_id"), F.lit("default")).alias("session_id") if "session_id" in have else F.lit("default").alias("session_id"),
-        "event_time", F.col("protocol"), *[num(c).alias(c) for c in dict.fromkeys(SUMS + SQUARES + MEANS + TOPS)],
-        F.explode(kinds).alias("x")).select("*", "x.*").drop("x")
-    only = F.col("kind") == "flow"
-
-    def own(c):
-        return F.when(only, F.col(c))
+        real = ~F.col(MARKER) & F.col("event_time").isNotNull()
+        kinds = F.filter(kinds, lambda x: real)
+        volume.append(F.explode(F.filter(F.array(F.lit(1)), lambda x: real)).alias("_real"))
+    whole = rows.select(session.alias("session_id"), *volume)
+    values = rows.select(session.alias("session_id"), "event_time", F.explode(kinds).alias("x")).select("session_id", "event_time", "x.*")
 
     span = F.window("event_time", f"{round(w * 1e6)} microseconds", startTime=f"{round(offset * 1e6)} microseconds")
-    carried = [F.sum(own(c)).alias(f"s_{c}") for c in dict.fromkeys(SUMS + SQUARES + MEANS)]
-    carried += [F.sum(own(c) * own(c)).alias(f"q_{c}") for c in SQUARES]
-    carried += [F.max(own(c)).alias(f"t_{c}") for c in TOPS]
-    carried += [F.sum(F.when(only, (F.col(c) > 0).cast("double"))).alias(f"p_{c}") for c in ("flag_rst", "flag_syn")]
-    carried += [F.sum(F.when(only, (F.col("protocol") == p).cast("double"))).alias(f"p_{p}") for p in (6, 17)]
-    one = rows.groupBy(span, "session_id", "kind", "v1", "v2").agg(F.count(F.lit(1)).alias("n"), *carried)
-    names = [c for c in one.columns if c[:2] in ("s_", "q_", "t_", "p_")]
+    carried = [F.sum(c).alias(f"s_{c}") for c in dict.fromkeys(SUMS + SQUARES + MEANS)]
+    carried += [F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in SQUARES]
+    carried += [F.max(c).alias(f"t_{c}") for c in TOPS]
+    carried += [F.sum((F.col(c) > 0).cast("double")).alias(f"p_{c}") for c in ("flag_rst", "flag_syn")]
+    carried += [F.sum((F.col("protocol") == p).cast("double")).alias(f"p_{p}") for p in (6, 17)]
+    sums = whole.groupBy(span, "session_id").agg(F.count(F.lit(1)).alias("n"), *carried).withColumn("kind", F.lit("flow"))
+    names = [c for c in sums.columns if c[:2] in ("s_", "q_", "t_", "p_")]
 
     def again(c):
         return (F.max(c) if c.startswith("t_") else F.sum(c)).alias(c)
 
-    two = one.groupBy("window", "session_id", "kind", "v1").agg(
-        F.count(F.lit(1)).alias("peers"), F.sum("n").alias("n"), *[again(c) for c in names])
+    one = values.groupBy(span, "session_id", "kind", "v1", "v2", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("v1")) for k, c in (("src", "v1"), ("dst", "v2"))])
+    own = F.array(F.struct("kind", "v1"))
+    one = one.select("window", "session_id", "v", "n", F.explode(F.when(F.col("kind") == "pair", ends).otherwise(own)).alias("x"))
+    two = one.select("window", "session_id", "x.*", "v", "n").groupBy("window", "session_id", "kind", "v1", "v").agg(
+        F.count(F.lit(1)).alias("peers"), F.sum("n").alias("n"))
+    two = two.unionByName(sums, allowMissingColumns=True)
 
     def when(k, value):
         return F.when(F.col("kind") == k, value)
@@ -104,21 +107,29 @@ def closed_windows(flows: DataFrame, cfg: WindowConfig = WindowConfig(), start_e
         F.sum(when("src", F.col("peers"))).alias("unique_pairs"), F.count(when("port", F.lit(1))).alias("unique_dst_ports"),
         F.max(when("src", F.col("peers"))).alias("fan_out"), F.max(when("dst", F.col("peers"))).alias("fan_in"),
         _entropy("port").alias("dstport_entropy"), _entropy("dst").alias("dstip_entropy"), _entropy("src").alias("srcip_entropy"),
-        F.collect_list(when("size", F.struct(F.col("v1").cast("double").alias("v"), F.col("n").cast("double").alias("n")))).alias("sizes"),
+        F.collect_list(when("size", F.struct("v", F.col("n").cast("double").alias("n")))).alias("sizes"),
+        F.min(when("size", F.col("v"))).alias("size_lo"), F.max(when("size", F.col("v"))).alias("size_hi"),
         F.min_by(when("fam", F.col("v1")), when("fam", F.struct((-F.col("n")).alias("c"), F.col("v1").alias("f")))).alias("family"),
         *[again(c) for c in names])
     return _finish(three, w, start_epoch)
 
 
 def _size_entropy() -> Column:
-    values = F.transform("sizes", lambda s: s["v"])
-    lo, hi = F.array_min(values), F.array_max(values)
+    """Each size is put in its slot once: the limits are columns, since an array's minimum in a lambda is searched for every element."""
+    lo, hi = F.col("size_lo"), F.col("size_hi")
     width = F.when(hi > lo, hi - lo)
     slot = lambda s: F.coalesce(F.least(F.floor((s["v"] - lo) / width * 16), F.lit(15)), F.lit(0))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(
-        F.filter("sizes", lambda s: slot(s) == b), F.lit(0.0), lambda a, s: a + s["n"]))
-    total = F.aggregate("sizes", F.lit(0.0), lambda a, s: a + s["n"])
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+    slots = F.transform("sizes", lambda s: F.struct(slot(s).alias("b"), s["n"].alias("n")))
+
+    def total(found, b=None):
+        return F.aggregate(found, F.lit(0.0), lambda a, s: a + (s["n"] if b is None else F.when(s["b"] == b, s["n"]).otherwise(0.0)))
+
+    def entropy(found):
+        counts = F.transform(F.array(F.struct(total(found).alias("t"), F.array(*[total(found, b) for b in range(16)]).alias("c"))), lambda x: F.aggregate(
+            x["c"], F.lit(0.0), lambda a, c: a - F.when(c > 0, c / x["t"] * F.log2(c / x["t"])).otherwise(0.0)))
+        return F.get(counts, F.lit(0))
+
+    return F.get(F.transform(F.array(slots), entropy), F.lit(0))
 
 
 def _finish(rows: DataFrame, w: float, start_epoch: float) -> DataFrame:
