@@ -31,7 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more.
 
-    A prefix filter finds the pairs, not fingerprints: two such texts differ in about ten of 64 fingerprint bits, too many for bit groups.
+    The generalised pigeonhole of op3 gives the pairs its fingerprints find. Most near copies differ in more bits than bit groups
+    reach, so an exact prefix filter gives the rest; sets of shingles decide on all of them.
     """
     return similar.drop_similar(docs)
 

@@ -147,6 +147,39 @@ def test_near_copies_against_all_pairs(spark, dense):
     assert corpus_pipeline.near_dedup(spark, table(spark, rows), "").count() == len(groups)
 
 
+def test_near_copies_go_through_the_pigeonhole(spark, monkeypatch):
+    rows = near_copies(60)
+    prints = sorted({naive_print(t) for _, t, _ in rows})
+    want = naive_components([(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2], list(range(len(prints))))
+    find, found, given, verify = similar.print_pairs, [], [], similar.verified
+
+    def kept(classes):
+        found.append((classes.collect(), find(classes)))
+        return found[-1][1]
+
+    def noted(pairs, texts, width, similarity, name):
+        given.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return verify(pairs, texts, width, similarity, name)
+
+    monkeypatch.setattr(similar, "print_pairs", kept)
+    monkeypatch.setattr(similar, "verified", noted)
+    first = similar.pigeonhole_pairs
+
+    def stored(texts):
+        out = first(texts)
+        given.append({(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(similar, "pigeonhole_pairs", stored)
+    corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()
+    ((classes, pairs),) = found
+    assert {r["fp"] % (1 << 64) for r in classes} == set(prints)
+    at = {p: i for i, p in enumerate(prints)}
+    linked = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in pairs.collect()]
+    assert linked and naive_components(linked, list(range(len(prints)))) == want
+    assert given[0] and given[0] <= given[1]                 # its pairs are among those that the exact sets decide on
+
+
 def test_near_copies_without_rows(spark):
     assert similar.drop_similar(table(spark, [])).count() == 0
 

@@ -1,7 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles, over all pairs that can reach it.
 
-Texts with one set of shingles form a class, and only classes are compared. A pair of similarity ``t`` shares one of the
-first ``n - ceil(t n) + 1`` shingles of both sets in any fixed order (prefix filter), so no similar pair is missed. The order
+Texts with one set of shingles form a class, and only classes are compared. The generalised pigeonhole of ``simhash`` comes first: classes
+whose fingerprints differ in two bits at most are its candidates. Fingerprints miss most pairs at the lower end of the similarity, so a
+prefix filter adds candidates for the rest. All candidates are verified by their exact sets.
+A pair of similarity ``t`` shares one of the first ``n - ceil(t n) + 1`` shingles of both sets in any fixed order (prefix filter), so no similar pair is missed. The order
 puts shingles that many texts have last; the counts behind it are rough, which changes the work but not the result.
 
 A bucket of more than ``DENSE`` classes would give pairs in the square of its size. Its classes are first compared with
@@ -25,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import discard, fresh, store, text_key
-from tidewatch.llm.simhash import components
+from tidewatch.llm.simhash import components, fingerprint
+from tidewatch.llm.simhash import links as print_pairs
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -92,7 +95,7 @@ def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def classes_and_counts(rows: DataFrame, width: int) -> DataFrame:
-    """Per row ``id``, ``key``, ``cls``, ``size``, ``level`` and two parity bitmaps, ``full`` of 2^level bits and ``half`` of half as many; 2^level is
+    """Per row ``id``, ``key``, ``cls``, ``fp`` (the fingerprint of ``simhash``), ``size``, ``level`` and two parity bitmaps, ``full`` of 2^level bits and ``half`` of half as many; 2^level is
     the size or up to twice as much, 128 at least. In rows without a class, rough counts ``n`` of ``shingle``: those met three times or more in a
     block of a task."""
     kind = dict(rows.dtypes)["id"]
@@ -103,17 +106,17 @@ def classes_and_counts(rows: DataFrame, width: int) -> DataFrame:
             values, n = np.unique(np.concatenate(parts), return_counts=True)
             keep = n > 2
             count = int(keep.sum())
-            none = [pa.nulls(count, k) for k in (id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), words, words)]
+            none = [pa.nulls(count, k) for k in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), words, words)]
             return pa.RecordBatch.from_arrays([*none, pa.array(values[keep].view(np.int64)), pa.array(n[keep])], names)
 
-        names = ["id", "key", "cls", "size", "level", "full", "half", "shingle", "n"]
+        names = ["id", "key", "cls", "fp", "size", "level", "full", "half", "shingle", "n"]
         parts, held, seen = [], 0, set()
         for batch in batches:
-            found, sizes, levels, full, half = [], [], [], [], []
+            found, prints, sizes, levels, full, half = [], [], [], [], [], []
             for t in batch.column("text"):
                 own = shingles(t.as_py(), width)
                 level = max(7, len(own).bit_length())
-                found.append(class_of(own)), sizes.append(len(own)), levels.append(level)
+                found.append(class_of(own)), prints.append(fingerprint(t.as_py())), sizes.append(len(own)), levels.append(level)
                 full.append(parity(own, 1 << level)), half.append(parity(own, 1 << level - 1))
                 if found[-1] not in seen:          # copies of a text that the task has met count once
                     seen.add(found[-1])
@@ -121,15 +124,15 @@ def classes_and_counts(rows: DataFrame, width: int) -> DataFrame:
                     held += len(own)
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), batch.column("key"), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                pa.array(levels, pa.int32()), pa.array(full, words), pa.array(half, words), none, none], names)
+                batch.column("id"), batch.column("key"), *[pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (found, prints)],
+                pa.array(sizes, pa.int32()), pa.array(levels, pa.int32()), pa.array(full, words), pa.array(half, words), none, none], names)
             if held > 4 * _BLOCK:
                 yield rough(parts, batch.column("id").type)
                 parts, held, seen = [], 0, set()
         if parts:
             yield rough(parts, batch.column("id").type)
 
-    return rows.mapInArrow(run, f"id {kind}, key long, cls long, size int, level int, full array<long>, half array<long>, shingle long, n long")
+    return rows.mapInArrow(run, f"id {kind}, key long, cls long, fp long, size int, level int, full array<long>, half array<long>, shingle long, n long")
 
 
 def common_shingles(counted: DataFrame, dense: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -341,8 +344,26 @@ def _crowd_pairs(rows: DataFrame, bitmaps: DataFrame, similarity: float) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def pigeonhole_pairs(texts: Texts) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of classes with linked fingerprints, stored.
+
+    Classes of one fingerprint are paired with the least of them, and linked fingerprints by their least classes.
+    """
+    prints = store(texts.named.select("fp", "cls").distinct(), "class-prints")
+    least = store(prints.groupBy("fp").agg(F.min("cls").alias("least")), "least-classes")
+    within = prints.join(least, "fp").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    between = print_pairs(least.select("fp"))
+    for end in "ab":
+        between = between.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), end)
+    between = between.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    pairs = store(within.unionByName(between).where("a <> b"), "pigeonhole-pairs")
+    discard(prints), discard(least)
+    return pairs
+
+
 def links(texts: Texts, common: tuple[np.ndarray, np.ndarray], width: int = WIDTH, similarity: float = SIMILARITY, dense: int = DENSE) -> DataFrame:
     """Pairs ``(a, b)``, a > b, of similar classes that connect all that are linked."""
+    first = pigeonhole_pairs(texts)
     heads = store(prefixes(texts.rows, width, similarity, common), "prefixes")
     again = store(heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "shared-shingles")
     shared = store(heads.join(again, "shingle", "left_semi").distinct(), "shared-prefixes")
@@ -360,7 +381,8 @@ def links(texts: Texts, common: tuple[np.ndarray, np.ndarray], width: int = WIDT
     star = (
         crowd.withColumnRenamed("cls", "a").join(leaders, "shingle").where(F.col("a") != F.col("b"))
         .where(_sizes_fit(F.col("size"), F.col("sb"), similarity)))
-    found = verified(_ordered(pairs.select("a", "b").unionByName(star.select("a", "b"))), texts, width, similarity, "near")
+    found = verified(_ordered(first.unionByName(pairs.select("a", "b")).unionByName(star.select("a", "b"))), texts, width, similarity, "near")
+    discard(first)
 
     # in dense buckets, pairs that are still in different components
     roots = components(found).withColumnRenamed("a", "cls")
